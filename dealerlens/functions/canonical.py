@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from dealerlens.functions.text import PY_WS, col, py_split, py_strip
+from dealerlens.functions.text import PY_WS, col, py_strip
 from dealerlens.sources.dims import trim_words
 
 STOP, NUM, ALPHA = 0, 1, 2
@@ -90,27 +90,37 @@ def token_class(c: Column) -> Column:
 
 
 def tokens_without_year(s: Column | str) -> Column:
-    """Step 4: whitespace tokens, a leading 4-digit token removed."""
-    toks = py_split(col(s))
+    """Step 4: whitespace tokens of a stripped string, a leading 4-digit token removed."""
+    s = col(s)
+    toks = F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, rf"(?U){PY_WS}+"))
     return F.when(
         F.try_element_at(toks, F.lit(1)).rlike(r"(?U)^\d{4}$"), F.slice(toks, 2, 1 << 30)
     ).otherwise(toks)
 
 
-def token_walk(tokens: Column | str) -> Column:
-    """Step 5 in closed form over the first three tokens; '' if none."""
-    toks = col(tokens)
-    t1 = F.try_element_at(toks, F.lit(1))
-    c2 = clean_token(F.try_element_at(toks, F.lit(2)))
-    c3 = clean_token(F.try_element_at(toks, F.lit(3)))
-    k2, k3 = token_class(c2), token_class(c3)
-    return (
-        F.when(t1.isNull(), F.lit(""))
+def walk_columns(df, stripped: str = "model_stripped", known: str = "known_model", out: str = "model_walk"):
+    """Step 5 in closed form over the first three tokens ('' if none).
+
+    Each intermediate is its own projected column, so Catalyst evaluates the
+    split, the token cleaning and the classification once per row instead of
+    once per reference inside the final CASE.
+    """
+    x = df.withColumn("_toks", tokens_without_year(stripped))
+    x = (x.withColumn("_t1", F.try_element_at(F.col("_toks"), F.lit(1)))
+          .withColumn("_c2", clean_token(F.try_element_at(F.col("_toks"), F.lit(2))))
+          .withColumn("_c3", clean_token(F.try_element_at(F.col("_toks"), F.lit(3)))))
+    x = x.withColumn("_k2", token_class(F.col("_c2"))).withColumn("_k3", token_class(F.col("_c3")))
+    t1, c2, c3, k2, k3 = (F.col(c) for c in ("_t1", "_c2", "_c3", "_k2", "_k3"))
+    walk = (
+        F.when(F.col(stripped) == "", F.lit(""))
+        .when(F.col(known).isNotNull(), F.col(known))
+        .when(t1.isNull(), F.lit(""))
         .when(k2 == STOP, t1)
         .when(k2 == NUM, F.concat_ws(" ", t1, c2))
         .when(k3 == STOP, F.concat_ws(" ", t1, c2))
         .otherwise(F.concat_ws(" ", t1, c2, c3))
     )
+    return x.withColumn(out, walk).drop("_toks", "_t1", "_c2", "_c3", "_k2", "_k3")
 
 
 def first_prefix_match(s: Column | str, known_names: Column | str) -> Column:

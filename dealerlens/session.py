@@ -18,6 +18,9 @@ LOCAL_CONF = {
     "spark.ui.showConsoleProgress": "false",
     "spark.driver.memory": "16g",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # HotSpot does not JIT methods over 8000 bytecode bytes; past that size
+    # whole-stage codegen is slower than per-operator code (Spark docs).
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
