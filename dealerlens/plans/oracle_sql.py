@@ -198,9 +198,175 @@ FROM kept GROUP BY manufacturer, model""",
         "price_cap": base + "SELECT quantile_cont(price, 0.99) AS price_cap FROM kept",
     }
     out.update(feature_sql(base))
+    out.update(request_sql(base))
     return out
 
 
+def _pick(keys, fn) -> str:
+    """First key whose JSON path exists (present, possibly null)."""
+    whens = " ".join(f"WHEN json_type(payload, '$.{k}') IS NOT NULL THEN {fn(k)}" for k in keys)
+    return f"CASE {whens} END"
+
+
+def _nullish(keys, fn) -> str:
+    whens = " ".join(f"WHEN json_type(payload, '$.{k}') <> 'NULL' THEN {fn(k)}" for k in keys)
+    return f"CASE {whens} END"
+
+
+def _pystr(k: str) -> str:
+    t = f"json_type(payload, '$.{k}')"
+    return (f"CASE {t} WHEN 'NULL' THEN 'None' WHEN 'VARCHAR' THEN json_extract_string(payload, '$.{k}') "
+            f"WHEN 'BOOLEAN' THEN CASE WHEN json_extract(payload, '$.{k}')::BOOLEAN THEN 'True' ELSE 'False' END "
+            f"ELSE json_extract(payload, '$.{k}')::VARCHAR END")
+
+
+def _truthy(k: str) -> str:
+    t = f"json_type(payload, '$.{k}')"
+    return (f"CASE {t} WHEN 'NULL' THEN false WHEN 'BOOLEAN' THEN json_extract(payload, '$.{k}')::BOOLEAN "
+            f"WHEN 'VARCHAR' THEN length(json_extract_string(payload, '$.{k}')) > 0 "
+            f"WHEN 'ARRAY' THEN json_array_length(payload, '$.{k}') > 0 "
+            f"WHEN 'OBJECT' THEN json_extract(payload, '$.{k}')::VARCHAR <> '{{}}' "
+            f"ELSE json_extract(payload, '$.{k}')::DOUBLE <> 0 END")
+
+
+def _jsnumber(k: str) -> str:
+    t = f"json_type(payload, '$.{k}')"
+    sv = f"json_extract_string(payload, '$.{k}')"
+    return (f"CASE {t} WHEN 'BOOLEAN' THEN CASE WHEN json_extract(payload, '$.{k}')::BOOLEAN THEN 1.0 ELSE 0.0 END "
+            f"WHEN 'VARCHAR' THEN CASE WHEN trim({sv}) = '' THEN 0.0 "
+            f"WHEN regexp_full_match(trim({sv}), '[+-]?([0-9]+[.]?[0-9]*([eE][+-]?[0-9]+)?|[.][0-9]+([eE][+-]?[0-9]+)?|Infinity)') "
+            f"THEN TRY_CAST(trim({sv}) AS DOUBLE) END "
+            f"WHEN 'ARRAY' THEN NULL WHEN 'OBJECT' THEN NULL ELSE json_extract(payload, '$.{k}')::DOUBLE END")
+
+
+def _jsbool(k: str) -> str:
+    t = f"json_type(payload, '$.{k}')"
+    return (f"CASE {t} WHEN 'VARCHAR' THEN length(json_extract_string(payload, '$.{k}')) > 0 "
+            f"WHEN 'BOOLEAN' THEN json_extract(payload, '$.{k}')::BOOLEAN WHEN 'ARRAY' THEN true "
+            f"WHEN 'OBJECT' THEN true ELSE json_extract(payload, '$.{k}')::DOUBLE <> 0 END")
+
+
+REQ_FIELDS = (("manufacturer", ("manufacturer", "brand"), ""), ("model_raw", ("model",), ""),
+              ("fuel", ("fuel", "fuel_type"), "gas"), ("transmission", ("transmission",), "automatic"),
+              ("drive", ("drive",), "unknown"), ("type", ("type",), "unknown"), ("condition", ("condition",), "good"),
+              ("cylinders", ("cylinders",), "4 cylinders"), ("title_status", ("title_status",), "clean"))
+
+
+def request_sql(base: str) -> dict[str, str]:
+    odo_keys, year_keys = ("odometer", "mileage", "milage"), ("year", "model_year")
+    odo = _pick(odo_keys, lambda k: f"json_extract(payload, '$.{k}')")
+    yr = _pick(year_keys, lambda k: f"json_extract(payload, '$.{k}')")
+    kind = ("CASE WHEN NOT json_valid(payload) THEN 'empty' WHEN json_type(payload) = 'OBJECT' THEN 'object' "
+            "WHEN json_extract(payload, '$')::VARCHAR IN ('[]', '\"\"', '0', 'false', 'null') THEN 'empty' "
+            "ELSE 'bad' END")
+    parsed = "WITH " + views("requests") + f""",
+r0 AS (SELECT *, {kind} AS body_kind FROM requests),
+r AS (SELECT *, CASE WHEN body_kind = 'object' THEN {odo} END AS odo,
+                CASE WHEN body_kind = 'object' THEN {yr} END AS yr FROM r0),
+rp AS (SELECT *, json_type(odo) AS ot, json_type(yr) AS yt FROM r),
+rv AS (SELECT *,
+  CASE WHEN yr IS NULL THEN 0.0
+       WHEN yt IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN trunc(yr::DOUBLE)
+       WHEN yt = 'BOOLEAN' THEN CASE WHEN yr::BOOLEAN THEN 1.0 ELSE 0.0 END
+       WHEN yt = 'VARCHAR' AND regexp_full_match(trim(json_extract_string(yr, '$')), '[+-]?[0-9]+(_[0-9]+)*')
+         THEN replace(trim(json_extract_string(yr, '$')), '_', '')::DOUBLE END AS year,
+  CASE WHEN ot IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN odo::DOUBLE
+       WHEN ot = 'BOOLEAN' THEN CASE WHEN odo::BOOLEAN THEN 1.0 ELSE 0.0 END
+       WHEN ot = 'VARCHAR' THEN TRY_CAST(replace(trim(json_extract_string(odo, '$')), '_', '') AS DOUBLE) END AS odometer
+  FROM rp),
+rc AS (SELECT *, CASE
+  WHEN body_kind = 'bad' THEN 'An unexpected error occurred. Please try again.'
+  WHEN body_kind = 'empty' OR odo IS NULL OR ot = 'NULL' OR (ot = 'VARCHAR' AND json_extract_string(odo, '$') = '')
+    THEN 'Missing mileage/odometer'
+  WHEN year IS NULL OR odometer IS NULL THEN 'Invalid input — check your values and try again.'
+  WHEN year < 1900 OR year > 2027 THEN 'Year must be between 1900 and 2026'
+  WHEN (odometer < 0 OR odometer > 1000000) AND NOT isnan(odometer) THEN 'Mileage must be between 0 and 1,000,000'
+  END AS error FROM rv)"""
+    fields = ", ".join(
+        f"lower({strip(f'coalesce({_pick(keys, _pystr)}, {_q(d)})')}) AS {name}" for name, keys, d in REQ_FIELDS)
+    norm = base.rstrip() + ",\n" + parsed.replace("WITH ", "", 1).replace(
+        "requests AS (", "requests AS (", 1) + f""",
+rn AS (SELECT request_id, year, odometer, {fields},
+  CASE WHEN json_type(payload, '$.clean_title') IS NOT NULL AND json_type(payload, '$.clean_title') <> 'NULL'
+       THEN CASE WHEN {_truthy('clean_title')} THEN 1 ELSE 0 END ELSE NULL END AS ct_given,
+  greatest(2025 - year, 0.0) AS age, odometer / (greatest(2025 - year, 0.0) + 1) AS miles_per_year
+  FROM rc WHERE error IS NULL),
+rn2 AS (SELECT * EXCLUDE (ct_given), coalesce(ct_given, CASE WHEN title_status = 'clean' THEN 1 ELSE 0 END)
+  AS clean_title FROM rn)"""
+    chain = canonical_chain("rn2").replace("pre AS (", "rq_pre AS (").replace("FROM pre)", "FROM rq_pre)")
+    for cte in ("strp", "kn", "tok0", "tokc", "tok", "walk", "canon"):
+        chain = chain.replace(f"{cte} AS (", f"rq_{cte} AS (").replace(f"FROM {cte})", f"FROM rq_{cte})") \
+            .replace(f"FROM {cte} LEFT", f"FROM rq_{cte} LEFT").replace(f" {cte}.", f" rq_{cte}.") \
+            .replace(f"({cte}.", f"(rq_{cte}.")
+    chain = chain.replace("rq_tok0)", "rq_tok0)")
+    normalized = norm + chain
+    cyl = ("CASE cylinders WHEN '3 cylinders' THEN 3 WHEN '4 cylinders' THEN 4 WHEN '5 cylinders' THEN 5 "
+           "WHEN '6 cylinders' THEN 6 WHEN '8 cylinders' THEN 8 WHEN '10 cylinders' THEN 10 "
+           "WHEN '12 cylinders' THEN 12 ELSE 4 END")
+    cond = ("CASE condition WHEN 'new' THEN 6 WHEN 'like new' THEN 5 WHEN 'excellent' THEN 4 WHEN 'good' THEN 3 "
+            "WHEN 'fair' THEN 2 WHEN 'salvage' THEN 1 ELSE 3 END")
+    rfeat = normalized + f""",
+gm AS (SELECT avg(price) AS g FROM kept),
+me AS (SELECT manufacturer AS me_m, count(*) AS n, avg(price) AS mp FROM kept GROUP BY 1),
+pe AS (SELECT manufacturer AS pe_m, model AS pe_model, count(*) AS n, avg(price) AS mp FROM kept GROUP BY 1, 2),
+tt AS (SELECT type AS tt_type FROM kept GROUP BY type ORDER BY count(*) DESC, type LIMIT 12),
+ktc AS (SELECT CASE WHEN type IN (SELECT tt_type FROM tt) THEN type ELSE 'other' END AS tc FROM kept),
+rf AS (SELECT c.*, {cyl} AS cylinders_num, {cond} AS condition_ord,
+   coalesce(me.n / (me.n + 50.0) * me.mp + (1 - me.n / (me.n + 50.0)) * gm.g, gm.g) AS manufacturer_encoded,
+   coalesce(pe.n / (pe.n + 50.0) * pe.mp + (1 - pe.n / (pe.n + 50.0)) * gm.g, gm.g) AS model_encoded,
+   CASE WHEN type IN (SELECT tt_type FROM tt) THEN type ELSE 'other' END AS type_clean
+ FROM rq_canon c CROSS JOIN gm LEFT JOIN me ON me_m = c.manufacturer
+ LEFT JOIN pe ON pe_m = c.manufacturer AND pe_model = c.model),
+rfa AS (SELECT *, concat_ws(',',
+   CASE WHEN fuel IN (SELECT fuel FROM kept) THEN 'fuel_' || fuel END,
+   CASE WHEN transmission IN (SELECT transmission FROM kept) THEN 'trans_' || transmission END,
+   CASE WHEN drive IN (SELECT drive FROM kept) THEN 'drive_' || drive END,
+   CASE WHEN type_clean IN (SELECT tc FROM ktc) THEN 'type_' || type_clean END) AS one_hot_active FROM rf)
+"""
+    cap_txt = ("CASE WHEN ot = 'VARCHAR' THEN json_extract_string(odo, '$') ELSE odo::VARCHAR END")
+    pref = (f"regexp_extract({cap_txt}, '^\\s*([+-]?(Infinity|[0-9]+[.]?[0-9]*([eE][+-]?[0-9]+)?"
+            f"|[.][0-9]+([eE][+-]?[0-9]+)?))', 1)")
+    pay_text = lambda keys: f"coalesce({_nullish(keys, _pystr)}, '')"
+    return {
+        "requests_parsed": parsed + f"""
+SELECT request_id, client_ip, requested_at, body_kind,
+  CASE WHEN body_kind = 'object' THEN {_pick(odo_keys, _q)} END AS odometer_key, odo::VARCHAR AS odometer_json,
+  CASE WHEN body_kind = 'object' THEN {_pick(year_keys, _q)} END AS year_key, yr::VARCHAR AS year_json,
+  CASE WHEN body_kind = 'object' THEN {_pick(('manufacturer', 'brand'), _q)} END AS manufacturer_key,
+  CASE WHEN body_kind = 'object' THEN {_pick(('fuel', 'fuel_type'), _q)} END AS fuel_key FROM rp""",
+        "request_validation": parsed + """
+SELECT request_id, CASE WHEN error IS NULL THEN 200 WHEN error LIKE 'An unexpected%' THEN 500 ELSE 400 END AS code,
+  error FROM rc""",
+        "requests_normalized": normalized + """
+SELECT request_id, year, odometer, manufacturer, model, fuel, transmission, drive, type, condition, cylinders,
+  title_status, clean_title, age, miles_per_year FROM rq_canon""",
+        "requests_features": rfeat + """
+SELECT request_id, odometer, age, miles_per_year, CAST(cylinders_num AS DOUBLE) AS cylinders_num,
+  CAST(condition_ord AS DOUBLE) AS condition_ord, CAST(clean_title AS DOUBLE) AS clean_title,
+  manufacturer_encoded, model_encoded, one_hot_active FROM rfa""",
+        "price_postprocess": rfeat + """
+SELECT request_id, round(least(greatest(model_encoded, 500), (SELECT quantile_cont(price, 0.99) FROM kept)), 2)
+  AS prediction FROM rfa""",
+        "capped_odometer": parsed + f"""
+SELECT request_id, CASE WHEN {pref} <> '' THEN least(TRY_CAST({pref} AS DOUBLE), 300000.0) END AS odometer_capped
+FROM rp""",
+        "favorite_payload": parsed + f"""
+SELECT request_id, {pay_text(('brand',))} AS brand, {pay_text(('model',))} AS model,
+  coalesce({_nullish(('mileage', 'milage'), _jsnumber)}, CASE WHEN coalesce(json_type(payload, '$.mileage'), 'NULL') = 'NULL'
+    AND coalesce(json_type(payload, '$.milage'), 'NULL') = 'NULL' THEN 0.0 END) AS mileage,
+  coalesce({_nullish(('engine',), _jsnumber)}, CASE WHEN coalesce(json_type(payload, '$.engine'), 'NULL') = 'NULL'
+    THEN 0.0 END) AS engine,
+  coalesce({_nullish(('modelYear', 'model_year'), _jsnumber)}, CASE WHEN coalesce(json_type(payload, '$.modelYear'), 'NULL')
+    = 'NULL' AND coalesce(json_type(payload, '$.model_year'), 'NULL') = 'NULL' THEN 0.0 END) AS model_year,
+  {pay_text(('fuelType', 'fuel_type'))} AS fuel_type, {pay_text(('transmission',))} AS transmission,
+  coalesce({_nullish(('cleanTitle', 'clean_title'), _jsbool)}, false) AS clean_title,
+  coalesce({_nullish(('hasAccident', 'has_accident'), _jsbool)}, false) AS has_accident,
+  coalesce({_nullish(('predictedPrice', 'prediction'), _jsnumber)}, CASE WHEN coalesce(json_type(payload, '$.predictedPrice'),
+    'NULL') = 'NULL' AND coalesce(json_type(payload, '$.prediction'), 'NULL') = 'NULL' THEN 0.0 END) AS predicted_price
+FROM rp""",
+    }
+
+
 def feature_sql(base: str) -> dict[str, str]:
     cyl = ("CASE cylinders WHEN '3 cylinders' THEN 3 WHEN '4 cylinders' THEN 4 WHEN '5 cylinders' THEN 5 "
            "WHEN '6 cylinders' THEN 6 WHEN '8 cylinders' THEN 8 WHEN '10 cylinders' THEN 10 "

@@ -58,9 +58,16 @@ def fit_preprocessors(canon: DataFrame) -> Preprocessors:
 
 
 def transform(df: DataFrame, prep: Preprocessors, as_of_year: int | None = None) -> DataFrame:
-    """F1-F10 on canonical rows (training or requests)."""
+    """F1-F10 on canonical rows (training or requests).
+
+    A ``clean_title`` column already present (requests resolve it from the
+    body) is kept; otherwise it is derived from ``title_status``.
+    """
     year = prep.training_year if as_of_year is None else as_of_year
-    x = fe.add_ordinals(fe.add_age(df, year))
+    given = df.withColumnRenamed("clean_title", "_ct_given") if "clean_title" in df.columns else None
+    x = fe.add_ordinals(fe.add_age(given if given is not None else df, year))
+    if given is not None:
+        x = x.withColumn("clean_title", F.col("_ct_given")).drop("_ct_given")
     x = enc.apply_encoders(x, prep.mfr_enc, prep.model_enc, prep.global_mean)
     x = fe.bucket_types(x, prep.top_types)
     return fe.add_one_hot(x, prep.vocab)
