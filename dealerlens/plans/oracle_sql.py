@@ -199,9 +199,108 @@ FROM kept GROUP BY manufacturer, model""",
     }
     out.update(feature_sql(base))
     out.update(request_sql(base))
+    out.update(favorites_sql())
+    out.update(quota_sql())
     return out
 
 
+def favorites_sql() -> dict[str, str]:
+    head = "WITH " + views("favorites", "users", "changes", "user_signups") + """,
+rs AS (SELECT c.*, u.id AS actor_id FROM changes c LEFT JOIN users u ON u.email = c.user_email),
+cr AS (SELECT change_id, op, changed_at, actor_id, brand, model, predicted_price,
+   CASE WHEN predicted_price IS NULL THEN 'Predicted price is required'
+        WHEN actor_id IS NULL THEN 'User not found'
+        WHEN brand IS NULL OR trim(brand) = '' THEN 'Brand is required'
+        WHEN model IS NULL OR trim(model) = '' THEN 'Model is required' END AS message
+   FROM rs WHERE op = 'create'),
+tg AS (SELECT id, user_id AS owner, NULL::TIMESTAMP AS born_at, NULL::BIGINT AS born_cid FROM favorites
+       UNION ALL SELECT 1000000000 + change_id, actor_id, changed_at, change_id FROM cr WHERE message IS NULL),
+ud AS (SELECT rs.*, tg.id AS tid, owner,
+   tg.id IS NOT NULL AND (born_at IS NULL OR changed_at > born_at OR (changed_at = born_at AND change_id > born_cid))
+     AS ex
+   FROM rs LEFT JOIN tg ON tg.id = rs.favorite_id WHERE op IN ('update', 'delete')),
+fd AS (SELECT favorite_id AS fd_id, changed_at AS fd_at, change_id AS fd_cid FROM (
+   SELECT *, row_number() OVER (PARTITION BY favorite_id ORDER BY changed_at, change_id) AS rn FROM ud
+   WHERE op = 'delete' AND ex AND actor_id = owner) WHERE rn = 1),
+acc AS (SELECT ud.*, CASE
+   WHEN NOT ex OR (fd_id IS NOT NULL AND (changed_at > fd_at OR (changed_at = fd_at AND change_id > fd_cid)))
+     THEN 'Favorite prediction not found'
+   WHEN actor_id IS NULL THEN 'User not found'
+   WHEN actor_id <> owner THEN 'You don''t have permission to access this resource' END AS message
+   FROM ud LEFT JOIN fd ON fd_id = favorite_id),
+dl AS (SELECT favorite_id AS id, change_id FROM acc WHERE op = 'delete' AND message IS NULL),
+lu AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY favorite_id ORDER BY changed_at DESC, change_id DESC)
+   AS rn FROM acc WHERE op = 'update' AND message IS NULL) WHERE rn = 1),
+created AS (SELECT 1000000000 + change_id AS id, actor_id AS user_id, brand, model, 0 AS model_year,
+   0.0 AS mileage, 0.0 AS engine, NULL::VARCHAR AS fuel_type, NULL::VARCHAR AS transmission, true AS clean_title,
+   false AS has_accident, predicted_price, NULL::VARCHAR AS prediction_data, changed_at AS created_at
+   FROM cr WHERE message IS NULL),
+base AS (SELECT id, user_id, brand, model, model_year, mileage, engine, fuel_type, transmission, clean_title,
+   has_accident, predicted_price, prediction_data, created_at FROM favorites UNION ALL SELECT * FROM created),
+fin AS (SELECT b.id, b.user_id,
+   CASE WHEN lu.favorite_id IS NULL THEN b.brand ELSE lu.brand END AS brand,
+   CASE WHEN lu.favorite_id IS NULL THEN b.model ELSE lu.model END AS model,
+   CASE WHEN lu.favorite_id IS NULL THEN b.model_year END AS model_year,
+   CASE WHEN lu.favorite_id IS NULL THEN b.mileage END AS mileage,
+   CASE WHEN lu.favorite_id IS NULL THEN b.engine END AS engine,
+   CASE WHEN lu.favorite_id IS NULL THEN b.fuel_type END AS fuel_type,
+   CASE WHEN lu.favorite_id IS NULL THEN b.transmission END AS transmission,
+   CASE WHEN lu.favorite_id IS NULL THEN b.clean_title ELSE true END AS clean_title,
+   CASE WHEN lu.favorite_id IS NULL THEN b.has_accident ELSE false END AS has_accident,
+   CASE WHEN lu.favorite_id IS NULL THEN b.predicted_price ELSE lu.predicted_price END AS predicted_price,
+   CASE WHEN lu.favorite_id IS NULL THEN b.prediction_data ELSE lu.prediction_data END AS prediction_data,
+   b.created_at, lu.change_id AS last_change_id
+   FROM base b LEFT JOIN lu ON lu.favorite_id = b.id WHERE b.id NOT IN (SELECT id FROM dl))
+"""
+    code = ("CASE WHEN op = 'create' THEN 400 WHEN lower(message) LIKE '%expired%' OR lower(message) LIKE '%invalid%' "
+            "THEN 400 WHEN lower(message) LIKE '%not verified%' THEN 401 WHEN lower(message) LIKE '%not found%' "
+            "THEN 404 ELSE 400 END")
+    fmt0 = "format('{:,.0f}', round(predicted_price))"
+    return {
+        "users_scan": head + "SELECT id, email, enabled FROM users",
+        "duplicate_emails": head + "SELECT email, count(*) AS n FROM user_signups GROUP BY email HAVING count(*) > 1",
+        "favorites_by_user": head + """SELECT u.email, f.id, f.brand, f.model, f.predicted_price
+FROM favorites f JOIN users u ON u.id = f.user_id""",
+        "favorite_access": head + f"""SELECT change_id, op, favorite_id, message,
+  CASE WHEN message IS NULL THEN NULL ELSE {code} END AS code FROM acc""",
+        "favorite_exists": head + """SELECT change_id, favorite_id FROM rs
+WHERE EXISTS (SELECT 1 FROM favorites f WHERE f.id = rs.favorite_id AND f.user_id = rs.actor_id)""",
+        "favorites_created": head + "SELECT * FROM created",
+        "favorites_updated": head + "SELECT * FROM fin WHERE last_change_id IS NOT NULL",
+        "favorites_deleted": head + "SELECT * FROM dl",
+        "favorites_snapshot": head + "SELECT * EXCLUDE (last_change_id) FROM fin",
+        "favorites_rejected": head + f"""SELECT change_id, op, favorite_id, message, {code} AS code FROM acc
+WHERE message IS NOT NULL UNION ALL
+SELECT change_id, op, 1000000000 + change_id AS favorite_id, message, 400 AS code FROM cr WHERE message IS NOT NULL""",
+        "favorites_report": head + f"""SELECT id,
+  CASE WHEN brand IS NULL OR brand = '' THEN '-' ELSE brand END AS brand,
+  CASE WHEN model IS NULL OR model = '' THEN '-' ELSE model END AS model,
+  CASE WHEN model_year IS NULL OR model_year = 0 THEN '-' ELSE model_year::VARCHAR END AS model_year,
+  CASE WHEN mileage IS NULL OR mileage = 0 THEN '-'
+       ELSE rtrim(rtrim(format('{{:,.3f}}', round(mileage, 3)), '0'), '.') || ' mi' END AS mileage,
+  CASE WHEN fuel_type IS NULL OR fuel_type = '' THEN '-' ELSE fuel_type END AS fuel_type,
+  CASE WHEN transmission IS NULL OR transmission = '' THEN '-' ELSE transmission END AS transmission,
+  CASE WHEN clean_title THEN 'Yes' ELSE 'No' END AS clean_title,
+  '$' || CASE WHEN predicted_price IS NULL THEN '0' ELSE {fmt0} END AS price FROM fin""",
+    }
+
+
+def quota_sql() -> dict[str, str]:
+    head = "WITH " + views("requests") + """,
+w AS (SELECT request_id, client_ip, requested_at, 'hour' AS period, date_trunc('hour', requested_at) AS window_start,
+        2 AS max_requests FROM requests
+      UNION ALL SELECT request_id, client_ip, requested_at, 'day', date_trunc('day', requested_at), 15 FROM requests)
+"""
+    return {
+        "quota_usage": head + """SELECT client_ip, period, window_start, max_requests, count(*) AS n,
+  count(*) > max_requests AS over_limit FROM w
+GROUP BY client_ip, period, window_start, max_requests""",
+        "quota_rejected": head + """SELECT request_id, client_ip, period, window_start FROM (
+  SELECT *, row_number() OVER (PARTITION BY client_ip, period, window_start ORDER BY requested_at, request_id) AS rn
+  FROM w) WHERE rn > max_requests""",
+    }
+
+
 def _pick(keys, fn) -> str:
     """First key whose JSON path exists (present, possibly null)."""
     whens = " ".join(f"WHEN json_type(payload, '$.{k}') IS NOT NULL THEN {fn(k)}" for k in keys)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from dealerlens.plans import listing_queries, model_queries, request_queries
+from dealerlens.plans import favorites_queries, listing_queries, model_queries, request_queries
 
 
 def queries():
     out = {}
-    for mod in (listing_queries, model_queries, request_queries):
+    for mod in (listing_queries, model_queries, request_queries, favorites_queries):
         out.update(mod.QUERIES)
     return out
