@@ -33,8 +33,11 @@ def col(c: Column | str) -> Column:
 
 
 def py_strip(c: Column | str) -> Column:
-    """``str.strip()``: ``btrim`` over the whitespace set (no regex per row)."""
-    return F.btrim(col(c), F.lit(PY_WS_CHARS))
+    """``str.strip()``: ``btrim`` over the whitespace set, only for the rows
+    whose first or last character is whitespace (two hash-set probes)."""
+    c = col(c)
+    edge = F.substring(c, 1, 1).isin(*PY_WS_CHARS) | F.substring(c, -1, 1).isin(*PY_WS_CHARS)
+    return F.when(edge, F.btrim(c, F.lit(PY_WS_CHARS))).otherwise(c)
 
 
 def strip_lower(c: Column | str) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealerlens.functions.text import strip_lower, to_number
@@ -52,14 +52,23 @@ def coerce_numbers(df: DataFrame) -> DataFrame:
               .withColumn("odometer", to_number("odometer")))
 
 
+def within(c: Column, lo: float, hi: float) -> Column:
+    """``lo <= c <= hi``, false for null and NaN.
+
+    Written as "clamping does not change the value" so the (possibly
+    expensive, inlined) ``c`` appears twice instead of four times once the
+    filter is pushed below the projection that computes it. NaN sorts above
+    every number in Spark, so it is clamped to ``hi`` and fails the test.
+    """
+    return F.least(F.greatest(c, F.lit(float(lo))), F.lit(float(hi))) == c
+
+
 def in_ranges(df: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """P3 + P4: drop null/NaN numbers, keep inclusive ranges."""
-    p, y, o = F.col("price"), F.col("year"), F.col("odometer")
     return df.where(
-        p.between(limits.price_min, limits.price_max)
-        & y.between(limits.year_min, limits.year_max)
-        & o.between(limits.odometer_min, limits.odometer_max)
-        & ~F.isnan(p) & ~F.isnan(y) & ~F.isnan(o)
+        within(F.col("price"), limits.price_min, limits.price_max)
+        & within(F.col("year"), limits.year_min, limits.year_max)
+        & within(F.col("odometer"), limits.odometer_min, limits.odometer_max)
     )
 
 
@@ -91,13 +100,11 @@ def cleaning_funnel(scanned: DataFrame, limits: Limits = Limits()) -> DataFrame:
     model; counts and distinct counts come from a single hash aggregate.
     """
     df = canonicalize(fill_categories(coerce_numbers(scanned)).withColumn("model_raw", strip_lower("model")))
-    p, y, o = F.col("price"), F.col("year"), F.col("odometer")
-    passes = (
+    passes = F.coalesce(
         F.col("manufacturer").isNotNull() & F.col("model_raw").isNotNull()
-        & p.between(limits.price_min, limits.price_max) & ~F.isnan(p)
-        & y.between(limits.year_min, limits.year_max) & ~F.isnan(y)
-        & o.between(limits.odometer_min, limits.odometer_max) & ~F.isnan(o)
-    )
+        & within(F.col("price"), limits.price_min, limits.price_max)
+        & within(F.col("year"), limits.year_min, limits.year_max)
+        & within(F.col("odometer"), limits.odometer_min, limits.odometer_max), F.lit(False))
     kept = passes & (F.length("model") > 0)
     return df.agg(
         F.count(F.lit(1)).alias("raw_rows"),

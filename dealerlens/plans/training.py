@@ -45,7 +45,13 @@ class Preprocessors:
 
 def fit_preprocessors(canon: DataFrame) -> Preprocessors:
     """A9-A11, A8 and the one-hot vocabulary, fitted on all canonical rows
-    (as the original does: the hold-out rows take part in the encoders)."""
+    (as the original does: the hold-out rows take part in the encoders).
+
+    The canonical table is written once to the checkpoint folder first: the
+    fit runs several small aggregates over it, and each would otherwise
+    recompute cleaning and canonicalisation from the raw listings.
+    """
+    canon = materialize(canon, "canonical_listings")
     stats = materialize(enc.pair_stats(canon), "pair_stats")
     gm_row = enc.global_mean(stats).first()
     gm = float(gm_row["global_mean"])
@@ -113,6 +119,7 @@ class TrainedModel:
 def train(canon: DataFrame, params: GBTParams = GBTParams(), key: str = "listing_id") -> tuple[TrainedModel, DataFrame]:
     """Fit preprocessors and the regressor; returns the model and the
     materialised feature table with a ``split`` column."""
+    canon = materialize(canon, "canonical_listings")
     prep = fit_preprocessors(canon)
     feats = transform(canon, prep).withColumn("split", split_column(key))
     feats = materialize(feats.select(key, "price", "split", *prep.feature_names), "features")
