@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 def windowed_counts(requests: DataFrame, length: str = "1 hour", max_requests: int = 50,
                     delay: str = "10 minutes") -> DataFrame:
+    # watermarks need TIMESTAMP; NTZ input is read in the session time zone
+    requests = requests.withColumn("requested_at", F.col("requested_at").cast("timestamp"))
     return (requests.withWatermark("requested_at", delay)
             .groupBy(F.window("requested_at", length).alias("w"), "client_ip")
             .agg(F.count(F.lit(1)).alias("n"))
