@@ -2,65 +2,107 @@
 
 from __future__ import annotations
 
-import os
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-LOCAL_CONF = {
-    "spark.sql.shuffle.partitions": "8",
+#: Session settings that hold unless the launcher or the caller set them.
+SQL_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
-    "spark.ui.enabled": "false",
-    "spark.ui.showConsoleProgress": "false",
-    "spark.driver.memory": "16g",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # HotSpot does not JIT methods over 8000 bytecode bytes; past that size
     # whole-stage codegen is slower than per-operator code (Spark docs).
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
+#: Further settings for a session that this process starts on one machine.
+LOCAL_CONF = {
+    "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
+    "spark.driver.memory": "16g",
+}
+LOCAL_SQL = {"spark.sql.shuffle.partitions": "8"}
+
+CHECKPOINT_DIR = "spark.checkpoint.dir"
+
+#: Folders written by :func:`materialize` in this process.
+_written: list[str] = []
+
 
 def get_spark(master: str | None = None, app: str = "dealerlens", **conf: str) -> SparkSession:
-    """Return a session; on a cluster the launcher's settings win over these defaults."""
+    """Return a session. Settings of the launcher (``--conf``, defaults file) and ``conf`` win.
+
+    With ``master`` (a session on one machine: tests, bench) a few local settings
+    are added; without it only :data:`SQL_DEFAULTS` fill what nobody set.
+    """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for k, v in {**LOCAL_CONF, **conf}.items():
+        for k, v in LOCAL_CONF.items():
+            builder = builder.config(k, v)
+    for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
+    launched = spark.sparkContext.getConf()
+    for k, v in {**SQL_DEFAULTS, **(LOCAL_SQL if master else {})}.items():
+        if k not in conf and not launched.contains(k):
+            spark.conf.set(k, v)
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, which all executors must share.
 
-    On a cluster this setting points at shared storage and is only read. When
-    it is unset (tests, a laptop) a private scratch folder is created.
+    Where it is unset, a session on one machine (``local[...]``) gets a private
+    folder; on a cluster that would lose files, so it is an error there.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = tempfile.mkdtemp(prefix="dealerlens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(current)
-    return sc.getCheckpointDir() or current
+    named = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"{CHECKPOINT_DIR} is not set: name a folder that the driver and all executors share")
+    named = tempfile.mkdtemp(prefix="dealerlens-ckpt-")
+    spark.conf.set(CHECKPOINT_DIR, named)
+    return named
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path under the shared folder; :func:`drop_materialized` deletes it."""
+    path = f"{shared_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under the checkpoint folder and read it back.
+    """Write ``df`` as Parquet under the shared folder and read it back.
 
     Cuts lineage so a lost executor recomputes from the written files, and
     stops Catalyst from re-inlining expensive expressions into every consumer.
     """
-    spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark)
-    path = os.path.join(base, "tables", f"{name}-{uuid.uuid4().hex}")
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_materialized(spark: SparkSession) -> int:
+    """Delete every table :func:`materialize` wrote; results built on them end. Returns their number."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
+
+
+@atexit.register
+def _at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if _written and spark is not None and spark.sparkContext._jsc is not None:
+        drop_materialized(spark)
