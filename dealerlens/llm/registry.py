@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from dealerlens.llm import packing, token_files, token_orc
+from dealerlens.llm import line_dedup, packing, simhash, token_files, token_orc
 
 
 def queries():
     return {
+        "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op2_simhash": simhash.op2_simhash,
         "op7_packing": packing.op7_packing,
         "op8_token_counts": token_files.op8_token_counts,
         "op9_token_orc": token_orc.op9_token_orc,
@@ -14,4 +16,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_line_dedup": line_dedup.OP1_SQL}
