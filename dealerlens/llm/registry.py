@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from dealerlens.llm import line_dedup, packing, simhash, token_files, token_orc
+from dealerlens.llm import line_dedup, merkle, packing, simhash, token_files, token_orc, toxicity
 
 
 def queries():
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
         "op2_simhash": simhash.op2_simhash,
+        "op3_merkle": merkle.op3_merkle,
+        "op6_toxicity": toxicity.op6_toxicity,
         "op7_packing": packing.op7_packing,
         "op8_token_counts": token_files.op8_token_counts,
         "op9_token_orc": token_orc.op9_token_orc,
