@@ -16,7 +16,7 @@ import re
 import numpy as np
 
 #: Words a worker remembers; bounds its memory, not what is encoded.
-MAX_WORDS = 1_300_000
+MAX_WORDS = 600_000
 _MISSES = 50_000
 
 #: Letters, then ASCII marks (no apostrophe): two tokens of the tokenizer's own splitting.
