@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dealerlens.llm import line_dedup, merkle, packing, simhash, token_files, token_orc, toxicity
+from dealerlens.llm import licenses, line_dedup, merkle, packing, simhash, token_files, token_orc, toxicity
 
 
 def queries():
@@ -14,8 +14,9 @@ def queries():
         "op7_packing": packing.op7_packing,
         "op8_token_counts": token_files.op8_token_counts,
         "op9_token_orc": token_orc.op9_token_orc,
+        "op10_license_scan": licenses.op10_license_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.OP1_SQL}
+    return {"op1_line_dedup": line_dedup.OP1_SQL, "op10_license_scan": licenses.OP10_SQL}
