@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dealerlens.llm import decontaminate, licenses, line_dedup, merkle, packing, simhash, token_files, token_orc, toxicity
+from dealerlens.llm import decontaminate, html_extract, licenses, line_dedup, merkle, packing, simhash, token_files, token_orc, toxicity
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_line_dedup": line_dedup.op1_line_dedup,
         "op2_simhash": simhash.op2_simhash,
         "op3_merkle": merkle.op3_merkle,
+        "op4_html": html_extract.op4_html,
         "op5_decontamination": decontaminate.op5_decontamination,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_packing": packing.op7_packing,
