@@ -44,6 +44,10 @@ LAYOUTS = [
     "<h1>¶{T}</h1>{P}{P}<hr><ul>{A}</ul><div>&copy; {L}</div>",
     "<div><ul>{A}</ul></div><div><div><h2>¶{T}</h2><div>{P}<h3>¶{L}</h3>{P}</div></div></div><footer>&copy; {S}</footer>",
     "<p>¶{S} {S}</p><p>¶{S}</p>",
+    "<div class='content'>{P}</div><div id='comments'><p>{S}</p></div>",
+    "<div id='content'><h3>¶{L}</h3>{P}</div><div class='sidebar'><p>{S}</p></div>",
+    "<article>{P}</article><div class='comments'>{S}</div>",
+    "<main>{P}</main><footer>{S}</footer>",
 ]
 
 _SYLLABLES = ("an", "er", "the", "ou", "ti", "on", "re", "ha", "ing", "st", "ra", "lo", "mi", "ent", "is", "al", "que", "der", "ung", "ci")

@@ -257,5 +257,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+             max_bits: int = MAX_BITS) -> DataFrame:
+    """``docs`` with one document of each component, that of the smallest id; columns as they are. Rows that share a kept id
+    all stay, as do rows of null id unless a document with an id is in their component."""
+    found = near_duplicates(docs, id_col, text_col, shingle, max_bits)
+    gone = materialize(found.filter("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_near_copy")).distinct(), "near_copies")
+    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["_near_copy"]), "left_anti")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -349,6 +350,17 @@ def score_documents(docs: DataFrame, model: Chain, id_col: str = "doc_id", text_
                         (F.col("score") >= 0.5).cast("int").alias("predicted"), "span_start", "span_end", "span_p")
 
 
+def reject_toxic(docs: DataFrame, model: Chain, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score under one half, columns as they are."""
+    model_of = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series([model_of.value.score(model_of.value.tag(t)[2]) for t in texts], dtype="float64")
+
+    return docs.filter(score(F.coalesce(F.col(text_col), F.lit(""))) < 0.5)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"))
