@@ -1,6 +1,6 @@
 """Token counts from flat token files: a block-wise scan for the end-of-document id.
 
-The files hold nothing but little-endian unsigned 32-bit ids, one document after
+The files hold nothing but little-endian unsigned 16-bit ids, one document after
 another, each closed by the end id, without an index. Spark lists the files,
 cuts them into blocks of equal size and hands the blocks out; a task reads its block's
 byte range, finds the end ids with one vectorised comparison and returns how
@@ -27,7 +27,9 @@ from dealerlens.session import materialize, scratch_path
 BLOCK_BYTES = 4 << 20
 #: The tokenizer's own end-of-text id; its spelling within a text is read as ordinary text.
 END_ID = 49407
-_BYTES = 4
+#: Bytes of an id in the files: the vocabulary has fewer than 65,536 ids.
+_BYTES = 2
+_TYPE = "<u2"
 
 
 def _open(path: str):
@@ -40,7 +42,7 @@ def _write(tokenizer_path: str, end_id: int, folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         tok = word_tokenizer(tokenizer_path, special_as_text=True)
-        end = np.array([end_id], dtype="<u4").tobytes()
+        end = np.array([end_id], dtype=_TYPE).tobytes()
         name = f"tokens-{task.partitionId():06d}.bin"
         store, root = _open(folder)
         store.create_dir(root, recursive=True)
@@ -50,7 +52,7 @@ def _write(tokenizer_path: str, end_id: int, folder: str):
                 for k in range(0, batch.num_rows, 1000):
                     rows = batch.slice(k, 1000)
                     for ids in tok.encode(rows.column("text").to_pylist()):
-                        out.write(ids + end)
+                        out.write(np.frombuffer(ids, "<u4").astype(_TYPE).tobytes() + end)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([name] * rows.num_rows), pa.array(range(n, n + rows.num_rows), pa.int64()), rows.column("id")],
                         names=["file", "ordinal", "doc_id"])
@@ -80,7 +82,7 @@ def _scan(end_id: int):
             for path, begin, stop, size in zip(*(batch.column(c).to_pylist() for c in ("path", "begin", "stop", "size")), strict=True):
                 store, at = _open(path)
                 with store.open_input_file(at) as f:
-                    ids = np.frombuffer(f.read_at(stop - begin, begin), dtype="<u4")
+                    ids = np.frombuffer(f.read_at(stop - begin, begin), dtype=_TYPE)
                 ends = np.flatnonzero(ids == end_id) + begin // _BYTES
                 if stop == size and len(ids) and ids[-1] != end_id:  # the last document was never closed
                     ends = np.append(ends, stop // _BYTES)
