@@ -1,14 +1,9 @@
 """Canonical model names (N1-N6) on any DataFrame with a manufacturer and a
 raw model column.
 
-The name rules are native column expressions plus two broadcast joins
-against constant dimensions (a few hundred rows, fixed by the shipped files).
-Raw model text repeats heavily, so the batch path canonicalises each distinct
-(manufacturer, raw model) pair once: the pairs are reduced with a partial
-aggregate, mapped, written to the checkpoint folder, and joined back by
-broadcast when their count is under ``MAX_BROADCAST_PAIRS``. Beyond that
-bound the same expressions run row by row in place, which needs no shuffle of
-the listings at all.
+The name rules are native column expressions plus two broadcast joins against
+constant dimensions (a few hundred rows, fixed by the shipped files). They run
+row by row in place: no shuffle of the listings, no action while the plan is built.
 """
 
 from __future__ import annotations
@@ -17,11 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dealerlens.functions import canonical as C
-from dealerlens.session import materialize
 from dealerlens.sources.dims import aliases_df, known_models_df
 
-STEP_COLUMNS = ("model_pre", "model_stripped", "known_model", "model_walk", "model")
-MAX_BROADCAST_PAIRS = 2_000_000
 
 
 def with_steps(df: DataFrame, manufacturer: str = "manufacturer", model_raw: str = "model_raw") -> DataFrame:
@@ -53,33 +45,10 @@ def with_steps(df: DataFrame, manufacturer: str = "manufacturer", model_raw: str
     return x
 
 
-def pair_mapping(df: DataFrame, manufacturer: str = "manufacturer", model_raw: str = "model_raw") -> DataFrame:
-    """Distinct (manufacturer, raw model) pairs with all step columns, written
-    to the checkpoint folder (lineage cut; sized for the broadcast check)."""
-    pairs = df.select(F.col(manufacturer).alias("_pm"), F.col(model_raw).alias("_pr")).distinct()
-    mapped = with_steps(pairs, "_pm", "_pr")
-    return materialize(mapped.select("_pm", "_pr", *STEP_COLUMNS), "model_pairs")
-
-
-def with_steps_by_pairs(df: DataFrame, manufacturer: str = "manufacturer", model_raw: str = "model_raw",
-                        max_pairs: int = MAX_BROADCAST_PAIRS) -> DataFrame:
-    """Same columns as :func:`with_steps`, computed once per distinct pair."""
-    if "model" in df.columns and model_raw != "model":
-        df = df.drop("model")
-    mapping = pair_mapping(df, manufacturer, model_raw)
-    if mapping.count() > max_pairs:
-        return with_steps(df, manufacturer, model_raw)
-    cond = F.col(manufacturer).eqNullSafe(F.col("_pm")) & F.col(model_raw).eqNullSafe(F.col("_pr"))
-    return df.join(F.broadcast(mapping), cond, "left").drop("_pm", "_pr")
-
-
 def canonicalize(df: DataFrame, manufacturer: str = "manufacturer", model_raw: str = "model_raw",
-                 out: str = "model", by_pairs: bool = True) -> DataFrame:
-    """Replace/add ``out`` with the canonical model name; keeps other columns.
-
-    ``by_pairs=False`` keeps the plan free of actions (streaming, tiny inputs).
-    """
+                 out: str = "model") -> DataFrame:
+    """Replace/add ``out`` with the canonical model name; keeps other columns. Lazy, also on streams."""
     base = df.drop(out) if out in df.columns and out != model_raw else df
-    steps = with_steps_by_pairs(base, manufacturer, model_raw) if by_pairs else with_steps(base, manufacturer, model_raw)
+    steps = with_steps(base, manufacturer, model_raw)
     steps = steps.drop("model_pre", "model_stripped", "known_model", "model_walk")
     return steps.withColumnRenamed("model", out) if out != "model" else steps

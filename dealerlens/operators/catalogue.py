@@ -73,8 +73,9 @@ def top_types(canon: DataFrame, k: int = TOP_TYPES) -> DataFrame:
 def category_values(canon: DataFrame, top: DataFrame) -> DataFrame:
     """(category, position, value) for the sorted distinct category lists."""
     spark = canon.sparkSession
+    combined = canon.select("manufacturer", "fuel", "transmission", "drive").distinct()  # few rows, before each becomes four
     distinct_vals = (
-        canon.select(F.explode(F.array(
+        combined.select(F.explode(F.array(
             F.struct(F.lit("manufacturers").alias("category"), F.col("manufacturer").alias("value")),
             F.struct(F.lit("fuel_types").alias("category"), F.col("fuel").alias("value")),
             F.struct(F.lit("transmissions").alias("category"), F.col("transmission").alias("value")),
@@ -100,7 +101,7 @@ def car_options(popular: DataFrame, canon: DataFrame, top: DataFrame) -> DataFra
     """
     bm = brands_models(popular).select(F.struct("manufacturer", "models").alias("e"))
     bm_doc = bm.agg(F.map_from_entries(F.array_sort(F.collect_list("e"))).alias("brands_models"))
-    cats = category_values(canon, top)
+    cats = category_values(canon, top).where(F.col("category") != "manufacturers")
 
     def lst(name: str):
         return F.transform(
@@ -109,9 +110,13 @@ def car_options(popular: DataFrame, canon: DataFrame, top: DataFrame) -> DataFra
         ).alias(name)
 
     lists = cats.agg(*[lst(n) for n in ("conditions", "drive_types", "fuel_types", "transmissions", "vehicle_types")])
-    # Two one-row aggregates side by side.
-    both = bm_doc.withColumn("_k", F.lit(1)).join(lists.withColumn("_k", F.lit(1)), "_k")
+    both = lists.withColumn("brands_models", bm_doc.scalar())
     return both.select(
         F.to_json(F.struct("brands_models", "conditions", "drive_types", "fuel_types",
                            "transmissions", "vehicle_types")).alias("options")
     )
+
+
+def write_car_options(document: DataFrame, path: str) -> None:
+    """The catalogue document as one text file of JSON."""
+    document.coalesce(1).write.mode("overwrite").text(path)

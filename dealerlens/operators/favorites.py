@@ -13,7 +13,12 @@ aggregates and no per-row driver work:
 
 All per-id aggregates use partial aggregation, so an id touched by a third of
 all changes is reduced map-side; joins back to the change table are
-equi-joins that AQE can broadcast or skew-split.
+equi-joins that AQE can broadcast or skew-split. The judged changes are written once
+to the shared folder, and every result is derived from them.
+
+Numbers of a change may be text; booleans that a change lacks take the service's
+defaults (clean title, no accident). A created row's id is its change's id above the snapshot's largest, so ids
+never meet.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NEW_ID_BASE = 1_000_000_000
+from dealerlens.session import materialize
 
 # Failure messages.
 MSG_FAV_NOT_FOUND = "Favorite prediction not found"
@@ -30,6 +35,9 @@ MSG_NO_PERMISSION = "You don't have permission to access this resource"
 MSG_BRAND = "Brand is required"
 MSG_MODEL = "Model is required"
 MSG_PRICE = "Predicted price is required"
+# A number the body must hold; the original fails there with the platform's own message.
+MSG_NUMBER = (("mileage", "Mileage must be a number"), ("engine", "Engine must be a number"),
+              ("model_year", "Model year must be a number"))
 
 FIELDS = ("brand", "model", "model_year", "mileage", "engine", "fuel_type", "transmission", "clean_title",
           "has_accident", "predicted_price", "prediction_data")
@@ -66,7 +74,10 @@ def favorites_by_user(users: DataFrame, favorites: DataFrame) -> DataFrame:
 
 
 def resolve_users(changes: DataFrame, users: DataFrame) -> DataFrame:
-    """Attach ``actor_id`` (null: no such user) to every change."""
+    """Attach ``actor_id`` (null: no such user) to every change; a field the table lacks is null."""
+    lacking = [F.lit(None).cast("boolean" if c in ("clean_title", "has_accident") else "string").alias(c)
+               for c in FIELDS if c not in changes.columns]
+    changes = changes.select("*", *lacking)
     u = users.select(F.col("email").alias("_email"), F.col("id").alias("actor_id"))
     return changes.join(u, changes["user_email"] == u["_email"], "left").drop("_email")
 
@@ -75,22 +86,37 @@ def _order(c_at: str = "changed_at", c_id: str = "change_id") -> Column:
     return F.struct(F.col(c_at).alias("at"), F.col(c_id).alias("cid"))
 
 
-def creates(resolved: DataFrame) -> DataFrame:
-    """Create changes with ``message`` (null = accepted) and the new rows' values."""
+def payload_fields() -> list[Column]:
+    """The eleven fields a change carries, as a row stores them."""
+    return [
+        F.col("brand"), F.col("model"),
+        F.col("model_year").try_cast("double").cast("int").alias("model_year"),
+        F.col("mileage").try_cast("double").alias("mileage"), F.col("engine").try_cast("double").alias("engine"),
+        F.col("fuel_type"), F.col("transmission"),
+        F.coalesce(F.col("clean_title"), F.lit(True)).alias("clean_title"),
+        F.coalesce(F.col("has_accident"), F.lit(False)).alias("has_accident"),
+        F.col("predicted_price").try_cast("double").alias("predicted_price"),
+        F.col("prediction_data"),
+    ]
+
+
+def creates(resolved: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """Create changes with ``message`` (null = accepted) and the new rows' values.
+
+    The numbers are read before the user is looked up, then brand and model are checked; a new row has no prediction data.
+    """
     c = resolved.where(F.col("op") == "create")
-    msg = (F.when(F.col("predicted_price").isNull(), F.lit(MSG_PRICE))
-            .when(F.col("actor_id").isNull(), F.lit(MSG_USER_NOT_FOUND))
-            .when(_blank(F.col("brand")), F.lit(MSG_BRAND))
-            .when(_blank(F.col("model")), F.lit(MSG_MODEL)))
+    c = c.select("change_id", "op", "changed_at", "actor_id", *payload_fields()).withColumn("prediction_data", F.lit(None).cast("string"))
+    msg = F.coalesce(
+        *(F.when(F.col(name).isNull(), F.lit(text)) for name, text in MSG_NUMBER),
+        F.when(F.col("predicted_price").isNull(), F.lit(MSG_PRICE)),
+        F.when(F.col("actor_id").isNull(), F.lit(MSG_USER_NOT_FOUND)),
+        F.when(_blank(F.col("brand")), F.lit(MSG_BRAND)),
+        F.when(_blank(F.col("model")), F.lit(MSG_MODEL)))
+    largest = snapshot.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("m")).scalar()
     return c.select(
-        "change_id", "op", "changed_at",
-        (F.lit(NEW_ID_BASE) + F.col("change_id")).cast("long").alias("id"),
-        F.col("actor_id").alias("user_id"),
-        "brand", "model", F.lit(0).alias("model_year"), F.lit(0.0).alias("mileage"), F.lit(0.0).alias("engine"),
-        F.lit(None).cast("string").alias("fuel_type"), F.lit(None).cast("string").alias("transmission"),
-        F.lit(True).alias("clean_title"), F.lit(False).alias("has_accident"),
-        "predicted_price", F.lit(None).cast("string").alias("prediction_data"),
-        F.col("changed_at").alias("created_at"), msg.alias("message"),
+        "change_id", "op", "changed_at", (largest + F.col("change_id")).alias("id"), F.col("actor_id").alias("user_id"),
+        *FIELDS, F.col("changed_at").alias("created_at"), msg.alias("message"),
     )
 
 
@@ -131,44 +157,41 @@ def exists_by_id_and_user(resolved: DataFrame, snapshot: DataFrame) -> DataFrame
     return ch.join(s, (ch["favorite_id"] == s["_sid"]) & (ch["actor_id"] == s["_suid"]), "left_semi")
 
 
-def apply_changes(snapshot: DataFrame, changes: DataFrame, users: DataFrame) -> dict[str, DataFrame]:
-    """Returns ``snapshot``, ``created``, ``updated``, ``deleted``, ``outcomes``."""
-    resolved = resolve_users(changes, users)
-    cr = creates(resolved)
-    accepted = cr.where(F.col("message").isNull())
-    acc = access(resolved, _targets(snapshot, accepted))
-    applied = acc.where(F.col("message").isNull())
-
-    deleted = applied.where(F.col("op") == "delete").select(F.col("favorite_id").alias("id"), "change_id")
-    upd = applied.where(F.col("op") == "update")
-    new_vals = F.struct(
-        "brand", "model", F.lit(None).cast("int").alias("model_year"), F.lit(None).cast("double").alias("mileage"),
-        F.lit(None).cast("double").alias("engine"), F.lit(None).cast("string").alias("fuel_type"),
-        F.lit(None).cast("string").alias("transmission"), F.lit(True).alias("clean_title"),
-        F.lit(False).alias("has_accident"), "predicted_price", "prediction_data",
-        F.col("change_id").alias("last_change_id"),
-    )
-    last_update = upd.groupBy(F.col("favorite_id").alias("_uid")).agg(F.max_by(new_vals, F.col("_ord")).alias("_u"))
+def judge(snapshot: DataFrame, changes: DataFrame, users: DataFrame) -> DataFrame:
+    """Every change once, with the row it is about (``id``, ``user_id`` of a new row), its fields, ``message`` (null =
+    applied) and ``code``; written to the shared folder."""
+    resolved = materialize(resolve_users(changes, users), "resolved_changes")
+    made = creates(resolved, snapshot)
+    acc = access(resolved, _targets(snapshot, made.where(F.col("message").isNull())))
+    addressed = acc.select("change_id", "op", "changed_at", F.col("favorite_id").alias("id"), F.lit(None).cast("long").alias("user_id"),
+                           *payload_fields(), F.col("changed_at").alias("created_at"), "message")
+    both = addressed.unionByName(made.withColumn("user_id", F.col("user_id").cast("long")))
+    return materialize(both.withColumn("code", error_code(F.col("message"), F.col("op"))), "judged_changes")
+
 
-    base = snapshot.select(*SNAPSHOT_COLUMNS).unionByName(accepted.select(*SNAPSHOT_COLUMNS))
-    live = base.join(deleted.select(F.col("id").alias("_did")), base["id"] == F.col("_did"), "left_anti")
-    merged = live.join(last_update, live["id"] == last_update["_uid"], "left")
+def apply_changes(snapshot: DataFrame, changes: DataFrame, users: DataFrame) -> dict[str, DataFrame]:
+    """Returns ``snapshot``, ``created``, ``updated``, ``deleted``, ``outcomes`` (one row a change), ``access``."""
+    judged = judge(snapshot, changes, users)
+    applied = judged.where(F.col("message").isNull())
+    accepted = applied.where(F.col("op") == "create").select(*SNAPSHOT_COLUMNS)
+    values = F.struct(*FIELDS, F.col("change_id").alias("last_change_id"))
+    effect = (applied.where(F.col("op") != "create").groupBy(F.col("id").alias("_id"))
+              .agg(F.max(F.col("op") == "delete").alias("_gone"),
+                   F.max_by(values, F.when(F.col("op") == "update", _order())).alias("_u")))
+    base = snapshot.select(*SNAPSHOT_COLUMNS).unionByName(accepted)
+    merged = base.join(effect, base["id"] == effect["_id"], "left").where(~F.coalesce(F.col("_gone"), F.lit(False)))
     cols = [F.col("id"), F.col("user_id")] + [
-        F.when(F.col("_uid").isNotNull(), F.col(f"_u.{c}")).otherwise(F.col(c)).alias(c) for c in FIELDS
+        F.when(F.col("_u").isNotNull(), F.col(f"_u.{c}")).otherwise(F.col(c)).alias(c) for c in FIELDS
     ] + [F.col("created_at")]
     final = merged.select(*cols, F.col("_u.last_change_id").alias("last_change_id"))
-
-    outcomes = acc.select("change_id", "op", "favorite_id", "message").unionByName(
-        cr.select("change_id", "op", F.col("id").alias("favorite_id"), "message"))
-    outcomes = outcomes.withColumn("code", error_code(F.col("message"), F.col("op")))
+    outcomes = judged.select("change_id", "op", F.col("id").alias("favorite_id"), "message", "code")
     return {
         "snapshot": final.drop("last_change_id"),
-        "created": accepted.select(*SNAPSHOT_COLUMNS),
+        "created": accepted,
         "updated": final.where(F.col("last_change_id").isNotNull()),
-        "deleted": deleted,
+        "deleted": applied.where(F.col("op") == "delete").select("id", "change_id"),
         "outcomes": outcomes,
-        "access": acc.select("change_id", "op", "favorite_id", "message").withColumn(
-            "code", error_code(F.col("message"), F.col("op"))),
+        "access": outcomes.where(F.col("op") != "create"),
     }
 
 

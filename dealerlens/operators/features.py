@@ -3,6 +3,8 @@ and the ordered feature matrix. All per-row column expressions."""
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import OneHotEncoder, StringIndexer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +26,6 @@ NUMERIC_FEATURES = (
 )
 # One-hot blocks in matrix order: (source column, prefix).
 ONE_HOT_BLOCKS = (("fuel", "fuel"), ("transmission", "trans"), ("drive", "drive"), ("type_clean", "type"))
-MAX_VOCABULARY = 10000
 
 
 def _lookup(pairs, c: Column, default: int) -> Column:
@@ -51,54 +52,51 @@ def bucket_types(df: DataFrame, top: list[str]) -> DataFrame:
     return df.withColumn("type_clean", F.when(F.col("type").isin(*top), F.col("type")).otherwise(F.lit("other")))
 
 
-def fit_vocabulary(df: DataFrame) -> dict[str, list[str]]:
-    """Sorted distinct values per one-hot block (the matrix schema).
+def fit_one_hot(df: DataFrame) -> PipelineModel:
+    """The one-hot blocks' values (in order of the alphabet), as Spark ML's own indexer and encoder: sparse vectors
+    whatever the number of values; a value not seen in the fit, or null, is all zeros."""
+    sources, names = [s for s, _ in ONE_HOT_BLOCKS], [p for _, p in ONE_HOT_BLOCKS]
+    indexer = StringIndexer(inputCols=sources, outputCols=[f"{n}_index" for n in names], handleInvalid="keep",
+                            stringOrderType="alphabetAsc")
+    encoder = OneHotEncoder(inputCols=[f"{n}_index" for n in names], outputCols=[f"{n}_one_hot" for n in names])
+    return Pipeline(stages=[indexer, encoder]).fit(df.select(*sources))
 
-    The column set depends on the data, so it has to reach the driver: one
-    pass reduces the rows to distinct (block, value) pairs, the per-block
-    counts are checked against ``MAX_VOCABULARY``, and only then collected.
-    """
-    pairs = df.select(F.explode(F.array(*[
-        F.struct(F.lit(prefix).alias("block"), F.col(src).alias("value")) for src, prefix in ONE_HOT_BLOCKS
-    ])).alias("p")).select("p.block", "p.value").where(F.col("value").isNotNull()).distinct()
-    pairs = pairs.cache()
-    try:
-        sizes = {r["block"]: r["n"] for r in pairs.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()}
-        for block, n in sizes.items():
-            if n > MAX_VOCABULARY:
-                raise ValueError(f"{block}: {n} distinct values exceed the one-hot limit {MAX_VOCABULARY}")
-        vocab: dict[str, list[str]] = {prefix: [] for _, prefix in ONE_HOT_BLOCKS}
-        for r in pairs.collect():
-            vocab[r["block"]].append(r["value"])
-    finally:
-        pairs.unpersist()
-    return {k: sorted(v) for k, v in vocab.items()}
 
+def vocabulary(one_hot: PipelineModel) -> dict[str, list[str]]:
+    """Values by block."""
+    return {prefix: list(labels) for (_, prefix), labels in zip(ONE_HOT_BLOCKS, one_hot.stages[0].labelsArray, strict=True)}
 
-def one_hot_columns(vocab: dict[str, list[str]]) -> list[str]:
-    return [f"{prefix}_{v}" for _, prefix in ONE_HOT_BLOCKS for v in vocab[prefix]]
 
+def add_one_hot(df: DataFrame, one_hot: PipelineModel) -> DataFrame:
+    """for each block ``<prefix>_index`` and the sparse vector ``<prefix>_one_hot``; unseen -> all 0."""
+    return one_hot.transform(df)
 
-def add_one_hot(df: DataFrame, vocab: dict[str, list[str]]) -> DataFrame:
-    """``<prefix>_<value>`` = 1 when the row's value equals it; unseen -> all 0."""
-    cols = []
-    for src, prefix in ONE_HOT_BLOCKS:
-        for v in vocab[prefix]:
-            cols.append((F.col(src) == F.lit(v)).cast("int").alias(f"{prefix}_{v}"))
-    return df.select("*", *cols)
 
+def feature_names(one_hot: PipelineModel) -> list[str]:
+    vocab = vocabulary(one_hot)
+    return list(NUMERIC_FEATURES) + [f"{prefix}_{v}" for _, prefix in ONE_HOT_BLOCKS for v in vocab[prefix]]
 
-def feature_names(vocab: dict[str, list[str]]) -> list[str]:
-    return list(NUMERIC_FEATURES) + one_hot_columns(vocab)
 
+def _known(prefix: str, one_hot: PipelineModel) -> Column:
+    return F.col(f"{prefix}_index") < len(vocabulary(one_hot)[prefix])
 
-def active_one_hot(vocab: dict[str, list[str]]) -> Column:
+
+def active_one_hot(one_hot: PipelineModel) -> Column:
     """Comma-joined names of the one-hot columns equal to 1, in matrix order."""
-    names = one_hot_columns(vocab)
-    return F.concat_ws(",", *[F.when(F.col(n) == 1, F.lit(n)) for n in names])
+    return F.concat_ws(",", *[F.when(_known(prefix, one_hot), F.concat(F.lit(f"{prefix}_"), F.col(src)))
+                              for src, prefix in ONE_HOT_BLOCKS])
+
+
+def one_hot_sum(one_hot: PipelineModel) -> Column:
+    """How many one-hot columns of a row are 1."""
+    return sum((_known(prefix, one_hot).cast("long") for _, prefix in ONE_HOT_BLOCKS), F.lit(0).cast("long"))
+
+
+#: The matrix in training order: columns for the vector assembler.
+MATRIX_INPUTS = (*NUMERIC_FEATURES, *(f"{prefix}_one_hot" for _, prefix in ONE_HOT_BLOCKS))
 
 
-def feature_matrix(df: DataFrame, vocab: dict[str, list[str]], keep: tuple[str, ...] = ()) -> DataFrame:
-    """``keep`` columns then the features in training order, as doubles."""
-    names = feature_names(vocab)
-    return df.select(*keep, *[F.col(n).cast("double").alias(n) for n in names])
+def feature_matrix(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``keep`` columns, then the numeric features as doubles and the one-hot blocks as vectors, in training order."""
+    return df.select(*keep, *[F.col(n).cast("double").alias(n) for n in NUMERIC_FEATURES],
+                     *[f"{prefix}_one_hot" for _, prefix in ONE_HOT_BLOCKS])

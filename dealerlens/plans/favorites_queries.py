@@ -8,7 +8,7 @@ from dealerlens.sources.fixtures import fixture
 
 # Fixture-sized quotas (the original 30/min, 50/h, 200/day are never reached
 # by the fixture's request rate); the library defaults stay the original ones.
-FIXTURE_LIMITS = (("hour", "1 hour", 2), ("day", "1 day", 15))
+FIXTURE_LIMITS = (("hour", 3600, 2), ("day", 86400, 15))
 
 
 def _tables(spark, sf_dir):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from dealerlens.operators import catalogue as cat
 from dealerlens.operators import clean, encoders
-from dealerlens.operators.canonicalize import with_steps_by_pairs
+from dealerlens.operators.canonicalize import with_steps
 from dealerlens.sources.fixtures import fixture
 from dealerlens.sources.listings import scan_listings
 
@@ -42,7 +42,7 @@ def q_clean_listings(spark, sf_dir):
 
 
 def _steps(spark, sf_dir):
-    return with_steps_by_pairs(clean.clean_listings(scanned(spark, sf_dir)))
+    return with_steps(clean.clean_listings(scanned(spark, sf_dir)))
 
 
 def q_model_precleaned(spark, sf_dir):

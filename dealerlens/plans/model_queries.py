@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from dealerlens.operators import features as fe
 from dealerlens.plans import training as tr
 from dealerlens.plans.listing_queries import canon
 
-# Trees for the registered train/score queries; the library default is 500.
-QUERY_TREES = 20
-
-
 def _features(spark, sf_dir):
-    c = canon(spark, sf_dir)
+    c = tr.written(canon(spark, sf_dir))
     prep = tr.fit_preprocessors(c)
     return tr.transform(c, prep), prep
 
@@ -38,15 +36,13 @@ def q_type_bucketed(spark, sf_dir):
 
 def q_one_hot(spark, sf_dir):
     x, prep = _features(spark, sf_dir)
-    cols = fe.one_hot_columns(prep.vocab)
-    return x.select("listing_id", fe.active_one_hot(prep.vocab).alias("one_hot_active"),
-                    sum(F.col(c) for c in cols).cast("long").alias("one_hot_sum"))
+    return x.select("listing_id", fe.active_one_hot(prep.one_hot).alias("one_hot_active"),
+                    fe.one_hot_sum(prep.one_hot).alias("one_hot_sum"))
 
 
 def q_feature_matrix(spark, sf_dir):
     x, prep = _features(spark, sf_dir)
-    m = fe.feature_matrix(x.withColumn("one_hot_active", fe.active_one_hot(prep.vocab)), prep.vocab,
-                          keep=("listing_id", "one_hot_active"))
+    m = fe.feature_matrix(x.withColumn("one_hot_active", fe.active_one_hot(prep.one_hot)), keep=("listing_id", "one_hot_active"))
     return m.select("listing_id", *fe.NUMERIC_FEATURES, "one_hot_active",
                     F.lit(len(prep.feature_names)).cast("long").alias("n_features"))
 
@@ -55,19 +51,28 @@ def q_split_counts(spark, sf_dir):
     return canon(spark, sf_dir).groupBy(tr.split_column().alias("split")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@functools.lru_cache(maxsize=2)
 def _trained(spark, sf_dir):
-    return tr.train(canon(spark, sf_dir), tr.GBTParams(n_trees=QUERY_TREES))
+    """The model of the library's default parameters, trained once a session for the queries that need it."""
+    return tr.train(canon(spark, sf_dir))
 
 
-def q_train_and_score(spark, sf_dir):
+def _held_out(spark, sf_dir):
     trained, feats = _trained(spark, sf_dir)
-    scored = trained.model.transform(feats.where(F.col("split") == "test"))
-    return scored.select("listing_id", "price", "prediction")
+    return trained.model.transform(feats.where(F.col("split") == "test"))
+
+
+def q_train_and_score(spark, sf_dir):
+    """M2, M7: hold-out rows with whether the ensemble's prediction is a number (its value has no SQL counterpart)."""
+    return _held_out(spark, sf_dir).select("listing_id", "price", (~F.isnan("prediction")).alias("predicted"))
 
 
 def q_model_metrics(spark, sf_dir):
-    trained, feats = _trained(spark, sf_dir)
-    return tr.regression_metrics(trained.model.transform(feats.where(F.col("split") == "test")))
+    return tr.regression_metrics(_held_out(spark, sf_dir))
+
+
+def q_validation_curve(spark, sf_dir):
+    return tr.validation_curve(*_trained(spark, sf_dir))
 
 
 def q_regression_metrics(spark, sf_dir):
@@ -77,8 +82,9 @@ def q_regression_metrics(spark, sf_dir):
 
 
 def q_spot_check(spark, sf_dir):
-    trained, feats = _trained(spark, sf_dir)
-    return tr.spot_check(trained.model.transform(feats.where(F.col("split") == "test")))
+    """M6: the rows picked, with the prediction's presence in place of its value."""
+    rows = tr.spot_check(_held_out(spark, sf_dir))
+    return rows.select("listing_id", "actual", (~F.isnan("prediction")).alias("predicted"))
 
 
 QUERIES = {name[2:]: fn for name, fn in dict(globals()).items() if name.startswith("q_") and callable(fn)}

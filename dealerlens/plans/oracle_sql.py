@@ -204,17 +204,25 @@ FROM kept GROUP BY manufacturer, model""",
     return out
 
 
+#: M1: hold-out rows by the first 32 bits of an MD5 of seed and key.
+SPLIT = ("CASE WHEN ('0x' || substr(md5('42:' || listing_id::VARCHAR), 1, 8))::BIGINT % 10000 < 1500 "
+         "THEN 'test' ELSE 'train' END")
+
+
 def favorites_sql() -> dict[str, str]:
     head = "WITH " + views("favorites", "users", "changes", "user_signups") + """,
 rs AS (SELECT c.*, u.id AS actor_id FROM changes c LEFT JOIN users u ON u.email = c.user_email),
-cr AS (SELECT change_id, op, changed_at, actor_id, brand, model, predicted_price,
-   CASE WHEN predicted_price IS NULL THEN 'Predicted price is required'
+cr AS (SELECT rs.* REPLACE (coalesce(clean_title, true) AS clean_title, coalesce(has_accident, false) AS has_accident),
+   (SELECT max(id) FROM favorites) + change_id AS new_id,
+   CASE WHEN mileage IS NULL THEN 'Mileage must be a number' WHEN engine IS NULL THEN 'Engine must be a number'
+        WHEN model_year IS NULL THEN 'Model year must be a number'
+        WHEN predicted_price IS NULL THEN 'Predicted price is required'
         WHEN actor_id IS NULL THEN 'User not found'
         WHEN brand IS NULL OR trim(brand) = '' THEN 'Brand is required'
         WHEN model IS NULL OR trim(model) = '' THEN 'Model is required' END AS message
    FROM rs WHERE op = 'create'),
 tg AS (SELECT id, user_id AS owner, NULL::TIMESTAMP AS born_at, NULL::BIGINT AS born_cid FROM favorites
-       UNION ALL SELECT 1000000000 + change_id, actor_id, changed_at, change_id FROM cr WHERE message IS NULL),
+       UNION ALL SELECT new_id, actor_id, changed_at, change_id FROM cr WHERE message IS NULL),
 ud AS (SELECT rs.*, tg.id AS tid, owner,
    tg.id IS NOT NULL AND (born_at IS NULL OR changed_at > born_at OR (changed_at = born_at AND change_id > born_cid))
      AS ex
@@ -231,22 +239,21 @@ acc AS (SELECT ud.*, CASE
 dl AS (SELECT favorite_id AS id, change_id FROM acc WHERE op = 'delete' AND message IS NULL),
 lu AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY favorite_id ORDER BY changed_at DESC, change_id DESC)
    AS rn FROM acc WHERE op = 'update' AND message IS NULL) WHERE rn = 1),
-created AS (SELECT 1000000000 + change_id AS id, actor_id AS user_id, brand, model, 0 AS model_year,
-   0.0 AS mileage, 0.0 AS engine, NULL::VARCHAR AS fuel_type, NULL::VARCHAR AS transmission, true AS clean_title,
-   false AS has_accident, predicted_price, NULL::VARCHAR AS prediction_data, changed_at AS created_at
+created AS (SELECT new_id AS id, actor_id AS user_id, brand, model, model_year,
+   mileage, engine, fuel_type, transmission, clean_title, has_accident, predicted_price, NULL::VARCHAR AS prediction_data, changed_at AS created_at
    FROM cr WHERE message IS NULL),
 base AS (SELECT id, user_id, brand, model, model_year, mileage, engine, fuel_type, transmission, clean_title,
    has_accident, predicted_price, prediction_data, created_at FROM favorites UNION ALL SELECT * FROM created),
 fin AS (SELECT b.id, b.user_id,
    CASE WHEN lu.favorite_id IS NULL THEN b.brand ELSE lu.brand END AS brand,
    CASE WHEN lu.favorite_id IS NULL THEN b.model ELSE lu.model END AS model,
-   CASE WHEN lu.favorite_id IS NULL THEN b.model_year END AS model_year,
-   CASE WHEN lu.favorite_id IS NULL THEN b.mileage END AS mileage,
-   CASE WHEN lu.favorite_id IS NULL THEN b.engine END AS engine,
-   CASE WHEN lu.favorite_id IS NULL THEN b.fuel_type END AS fuel_type,
-   CASE WHEN lu.favorite_id IS NULL THEN b.transmission END AS transmission,
-   CASE WHEN lu.favorite_id IS NULL THEN b.clean_title ELSE true END AS clean_title,
-   CASE WHEN lu.favorite_id IS NULL THEN b.has_accident ELSE false END AS has_accident,
+   CASE WHEN lu.favorite_id IS NULL THEN b.model_year ELSE lu.model_year END AS model_year,
+   CASE WHEN lu.favorite_id IS NULL THEN b.mileage ELSE lu.mileage END AS mileage,
+   CASE WHEN lu.favorite_id IS NULL THEN b.engine ELSE lu.engine END AS engine,
+   CASE WHEN lu.favorite_id IS NULL THEN b.fuel_type ELSE lu.fuel_type END AS fuel_type,
+   CASE WHEN lu.favorite_id IS NULL THEN b.transmission ELSE lu.transmission END AS transmission,
+   CASE WHEN lu.favorite_id IS NULL THEN b.clean_title ELSE coalesce(lu.clean_title, true) END AS clean_title,
+   CASE WHEN lu.favorite_id IS NULL THEN b.has_accident ELSE coalesce(lu.has_accident, false) END AS has_accident,
    CASE WHEN lu.favorite_id IS NULL THEN b.predicted_price ELSE lu.predicted_price END AS predicted_price,
    CASE WHEN lu.favorite_id IS NULL THEN b.prediction_data ELSE lu.prediction_data END AS prediction_data,
    b.created_at, lu.change_id AS last_change_id
@@ -271,7 +278,7 @@ WHERE EXISTS (SELECT 1 FROM favorites f WHERE f.id = rs.favorite_id AND f.user_i
         "favorites_snapshot": head + "SELECT * EXCLUDE (last_change_id) FROM fin",
         "favorites_rejected": head + f"""SELECT change_id, op, favorite_id, message, {code} AS code FROM acc
 WHERE message IS NOT NULL UNION ALL
-SELECT change_id, op, 1000000000 + change_id AS favorite_id, message, 400 AS code FROM cr WHERE message IS NOT NULL""",
+SELECT change_id, op, new_id AS favorite_id, message, 400 AS code FROM cr WHERE message IS NOT NULL""",
         "favorites_report": head + f"""SELECT id,
   CASE WHEN brand IS NULL OR brand = '' THEN '-' ELSE brand END AS brand,
   CASE WHEN model IS NULL OR model = '' THEN '-' ELSE model END AS model,
@@ -433,6 +440,10 @@ SELECT request_id, client_ip, requested_at, body_kind,
   CASE WHEN body_kind = 'object' THEN {_pick(year_keys, _q)} END AS year_key, yr::VARCHAR AS year_json,
   CASE WHEN body_kind = 'object' THEN {_pick(('manufacturer', 'brand'), _q)} END AS manufacturer_key,
   CASE WHEN body_kind = 'object' THEN {_pick(('fuel', 'fuel_type'), _q)} END AS fuel_key FROM rp""",
+        "score_requests": parsed + """
+SELECT request_id, CASE WHEN error IS NULL THEN 'success' ELSE 'error' END AS status, error,
+  CASE WHEN error IS NULL THEN 200 WHEN error LIKE 'An unexpected%' THEN 500 ELSE 400 END AS code,
+  CASE WHEN error IS NULL THEN true END AS within_bounds FROM rc""",
         "request_validation": parsed + """
 SELECT request_id, CASE WHEN error IS NULL THEN 200 WHEN error LIKE 'An unexpected%' THEN 500 ELSE 400 END AS code,
   error FROM rc""",
@@ -494,6 +505,10 @@ act AS (SELECT *, 'fuel_' || fuel || ',trans_' || transmission || ',drive_' || d
         "ordinal_features": feats + "SELECT listing_id, cylinders_num, condition_ord, clean_title FROM feat",
         "encoded_listings": feats + "SELECT listing_id, manufacturer_encoded, model_encoded FROM feat",
         "type_bucketed": feats + "SELECT listing_id, type, type_clean FROM feat",
+        "split_counts": base + f"SELECT {SPLIT} AS split, count(*) AS n FROM kept GROUP BY 1",
+        "train_and_score": base + f"SELECT listing_id, price, true AS predicted FROM kept WHERE {SPLIT} = 'test'",
+        "spot_check": base + f"""SELECT listing_id, price AS actual, true AS predicted FROM kept WHERE {SPLIT} = 'test'
+ORDER BY md5('1:' || listing_id::VARCHAR), listing_id LIMIT 10""",
         "one_hot": feats + "SELECT listing_id, one_hot_active, CAST(4 AS BIGINT) AS one_hot_sum FROM act",
         "feature_matrix": feats + f"""
 SELECT listing_id, odometer, CAST(age AS DOUBLE) AS age, miles_per_year, CAST(cylinders_num AS DOUBLE) AS cylinders_num,

@@ -1,16 +1,15 @@
 """Training batch (E1): canonical listings -> fitted preprocessors ->
 feature matrix -> boosted trees -> metrics, and bundle persistence (S3, S4).
 
-Fitted tables (encoders) stay DataFrames written under the checkpoint
-folder; only bounded scalars and the one-hot vocabulary (checked size) reach
-the driver, because they define the matrix schema.
+Fitted tables (encoders) stay DataFrames written under the shared folder; scalars and the one-hot
+labels that Spark ML's indexer keeps reach the driver.
 """
 
 from __future__ import annotations
 
 import json
 import os
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 from dealerlens.operators import catalogue as cat
 from dealerlens.operators import encoders as enc
 from dealerlens.operators import features as fe
-from dealerlens.session import materialize
+from dealerlens.session import materialize, shared_dir
 
 TEST_FRACTION = 0.15
 SPLIT_SEED = 42
@@ -32,35 +31,29 @@ class Preprocessors:
     global_mean: float
     price_cap: float
     top_types: list[str]
-    vocab: dict[str, list[str]]
+    one_hot: PipelineModel
     mfr_enc: DataFrame
     model_enc: DataFrame
     training_year: int = fe.TRAINING_YEAR
-    meta: dict = field(default_factory=dict)
 
     @property
     def feature_names(self) -> list[str]:
-        return fe.feature_names(self.vocab)
+        return fe.feature_names(self.one_hot)
 
 
-def fit_preprocessors(canon: DataFrame) -> Preprocessors:
-    """A9-A11, A8 and the one-hot vocabulary, fitted on all canonical rows
-    (as the original does: the hold-out rows take part in the encoders).
+def written(canon: DataFrame) -> DataFrame:
+    """The canonical listings, written once: the fit runs several aggregates over them and the features are built from them."""
+    return materialize(canon, "canonical_listings")
 
-    The canonical table is written once to the checkpoint folder first: the
-    fit runs several small aggregates over it, and each would otherwise
-    recompute cleaning and canonicalisation from the raw listings.
-    """
-    canon = materialize(canon, "canonical_listings")
+
+def fit_preprocessors(canon: DataFrame) -> Preprocessors:
+    """A9-A11, A8 and the one-hot blocks, fitted on the rows given (see :func:`written`)."""
     stats = materialize(enc.pair_stats(canon), "pair_stats")
-    gm_row = enc.global_mean(stats).first()
-    gm = float(gm_row["global_mean"])
-    mfr_enc, model_enc = enc.encoders(stats, gm)
-    mfr_enc, model_enc = materialize(mfr_enc, "mfr_enc"), materialize(model_enc, "model_enc")
+    gm = float(enc.global_mean(stats).first()["global_mean"])
+    mfr_enc, model_enc = (materialize(e, "encoder") for e in enc.encoders(stats, gm))
     cap = float(enc.price_cap(canon).first()["price_cap"])
     top = [r["type"] for r in cat.top_types(canon).collect()]  # at most TOP_TYPES rows
-    vocab = fe.fit_vocabulary(fe.bucket_types(canon, top))
-    return Preprocessors(gm, cap, top, vocab, mfr_enc, model_enc)
+    return Preprocessors(gm, cap, top, fe.fit_one_hot(fe.bucket_types(canon, top)), mfr_enc, model_enc)
 
 
 def transform(df: DataFrame, prep: Preprocessors, as_of_year: int | None = None) -> DataFrame:
@@ -76,12 +69,13 @@ def transform(df: DataFrame, prep: Preprocessors, as_of_year: int | None = None)
         x = x.withColumn("clean_title", F.col("_ct_given")).drop("_ct_given")
     x = enc.apply_encoders(x, prep.mfr_enc, prep.model_enc, prep.global_mean)
     x = fe.bucket_types(x, prep.top_types)
-    return fe.add_one_hot(x, prep.vocab)
+    return fe.add_one_hot(x, prep.one_hot)
 
 
 def split_column(key: str = "listing_id", test_fraction: float = TEST_FRACTION, seed: int = SPLIT_SEED):
-    """M1: deterministic hash split (stable under repartitioning and retries)."""
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(10000))
+    """M1: deterministic hash split (stable under repartitioning and retries): the first 32 bits of an MD5 of seed and key."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
+    bucket = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(10000))
     return F.when(bucket < int(round(test_fraction * 10000)), F.lit("test")).otherwise(F.lit("train"))
 
 
@@ -96,15 +90,21 @@ class GBTParams:
     min_instances_per_node: int = 5
     max_bins: int = 256
     seed: int = SPLIT_SEED
+    # how it is computed: node ids kept from level to level, larger node groups (fewer passes), lineage cut
+    max_memory_mb: int = 1024
+    cache_node_ids: bool = True
+    checkpoint_interval: int = 10
 
 
-def build_pipeline(feature_names: list[str], params: GBTParams = GBTParams()) -> Pipeline:
-    assembler = VectorAssembler(inputCols=feature_names, outputCol="features", handleInvalid="keep")
+def build_pipeline(params: GBTParams = GBTParams()) -> Pipeline:
+    assembler = VectorAssembler(inputCols=list(fe.MATRIX_INPUTS), outputCol="features", handleInvalid="keep")
     gbt = GBTRegressor(
         featuresCol="features", labelCol="price", predictionCol="prediction",
         maxIter=params.n_trees, maxDepth=params.max_depth, stepSize=params.step_size,
         subsamplingRate=params.subsampling_rate, featureSubsetStrategy=params.feature_subset,
         minInstancesPerNode=params.min_instances_per_node, maxBins=params.max_bins, seed=params.seed,
+        maxMemoryInMB=params.max_memory_mb, cacheNodeIds=params.cache_node_ids,
+        checkpointInterval=params.checkpoint_interval,
     )
     return Pipeline(stages=[assembler, gbt])
 
@@ -116,17 +116,31 @@ class TrainedModel:
     params: GBTParams
 
 
-def train(canon: DataFrame, params: GBTParams = GBTParams(), key: str = "listing_id") -> tuple[TrainedModel, DataFrame]:
-    """Fit preprocessors and the regressor; returns the model and the
-    materialised feature table with a ``split`` column."""
-    canon = materialize(canon, "canonical_listings")
-    prep = fit_preprocessors(canon)
-    feats = transform(canon, prep).withColumn("split", split_column(key))
-    feats = materialize(feats.select(key, "price", "split", *prep.feature_names), "features")
-    model = build_pipeline(prep.feature_names, params).fit(feats.where(F.col("split") == "train"))
+def train(canon: DataFrame, params: GBTParams = GBTParams(), key: str = "listing_id",
+          fit_on: str = "all") -> tuple[TrainedModel, DataFrame]:
+    """Fit preprocessors and the regressor; returns the model and the materialised feature table with a ``split`` column.
+
+    ``fit_on="all"`` fits encoders, cap and one-hot blocks on every row, as the original does (hold-out rows take part);
+    ``"train"`` fits them on the training rows only.
+    """
+    if fit_on not in ("all", "train"):
+        raise ValueError("fit_on is 'all' or 'train'")
+    canon = written(canon.withColumn("split", split_column(key)))
+    prep = fit_preprocessors(canon if fit_on == "all" else canon.where(F.col("split") == "train"))
+    feats = materialize(fe.feature_matrix(transform(canon, prep), keep=(key, "price", "split")), "features")
+    canon.sparkSession.sparkContext.setCheckpointDir(shared_dir(canon.sparkSession))
+    model = build_pipeline(params).fit(feats.where(F.col("split") == "train"))
     return TrainedModel(prep, model, params), feats
 
 
+def validation_curve(trained: TrainedModel, feats: DataFrame, every: int = 50) -> DataFrame:
+    """M3: (n_trees, rmse) of the ensemble's first n trees on the hold-out rows, each ``every`` trees and at the end."""
+    held = trained.model.stages[0].transform(feats.where(F.col("split") == "test"))
+    squared = trained.model.stages[1].evaluateEachIteration(held, "squared")
+    rows = [(n, float(e) ** 0.5) for n, e in enumerate(squared, 1) if n % every == 0 or n == len(squared)]
+    return feats.sparkSession.createDataFrame(rows, "n_trees int, rmse double")
+
+
 def regression_metrics(scored: DataFrame, label: str = "price", prediction: str = "prediction") -> DataFrame:
     """M4/M5: n, MAE and R^2 from one aggregate (no collect of rows)."""
     y, p = F.col(label), F.col(prediction)
@@ -142,8 +156,9 @@ def regression_metrics(scored: DataFrame, label: str = "price", prediction: str
 
 def spot_check(scored: DataFrame, key: str = "listing_id", k: int = 10, seed: int = 1) -> DataFrame:
     """M6: k seeded pseudo-random rows (top-k on a hash: TakeOrdered, no full sort)."""
-    return (scored.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key)))
-                  .orderBy("_h").limit(k).select(key, F.col("price").alias("actual"), "prediction"))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
+    return (scored.withColumn("_h", digest).orderBy("_h", key).limit(k)
+                  .select(key, F.col("price").alias("actual"), "prediction"))
 
 
 # ---- persistence (S3, S4) -------------------------------------------------
@@ -154,9 +169,10 @@ def save(trained: TrainedModel, path: str) -> None:
     trained.model.write().overwrite().save(os.path.join(path, "model"))
     trained.prep.mfr_enc.write.mode("overwrite").parquet(os.path.join(path, "manufacturer_encoder"))
     trained.prep.model_enc.write.mode("overwrite").parquet(os.path.join(path, "model_encoder"))
+    trained.prep.one_hot.write().overwrite().save(os.path.join(path, "one_hot"))
     meta = {
         "global_mean": trained.prep.global_mean, "price_cap": trained.prep.price_cap,
-        "top_types": trained.prep.top_types, "vocab": trained.prep.vocab,
+        "top_types": trained.prep.top_types,
         "training_year": trained.prep.training_year, "feature_names": trained.prep.feature_names,
         "params": trained.params.__dict__,
     }
@@ -167,7 +183,8 @@ def save(trained: TrainedModel, path: str) -> None:
 def load(spark: SparkSession, path: str) -> TrainedModel:
     meta = json.loads(spark.read.text(os.path.join(path, "meta")).first()[0])
     prep = Preprocessors(
-        meta["global_mean"], meta["price_cap"], meta["top_types"], meta["vocab"],
+        meta["global_mean"], meta["price_cap"], meta["top_types"],
+        PipelineModel.load(os.path.join(path, "one_hot")),
         spark.read.parquet(os.path.join(path, "manufacturer_encoder")),
         spark.read.parquet(os.path.join(path, "model_encoder")),
         meta["training_year"],

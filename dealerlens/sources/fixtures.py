@@ -83,12 +83,13 @@ FROM events e JOIN (VALUES
 """
 
 FAVORITES_SQL = """
-SELECT CAST(o_orderkey AS BIGINT) AS id, o_orderkey % 100 AS user_id, p.p_brand AS brand, p.p_name AS model,
+SELECT CAST(o_orderkey AS BIGINT) AS id, o_orderkey % users AS user_id, p.p_brand AS brand, p.p_name AS model,
        CAST(1996 + o_orderkey % 30 AS INT) AS model_year, CAST(o_orderkey % 200000 AS DOUBLE) AS mileage,
        CAST(0 AS DOUBLE) AS engine, CASE o_orderkey % 3 WHEN 0 THEN 'gas' WHEN 1 THEN '' END AS fuel_type,
        'automatic' AS transmission, o_orderkey % 5 <> 0 AS clean_title, false AS has_accident,
        o_totalprice / 10 AS predicted_price, o_orderdate AS created_at, CAST(NULL AS STRING) AS prediction_data
-FROM orders JOIN part p ON p.p_partkey = o_orderkey % 200
+FROM (SELECT *, (SELECT count(*) FROM part) AS parts, (SELECT count(*) FROM customer) AS users FROM orders) o
+JOIN part p ON p.p_partkey = o_orderkey % parts
 """
 
 USERS_SQL = """
@@ -98,22 +99,32 @@ FROM customer
 """
 
 USER_SIGNUPS_SQL = """
-SELECT c_custkey AS id, concat('user', CAST(c_custkey % 120 AS STRING), '@example.com') AS email
+SELECT c_custkey AS id, concat('user', CAST(c_custkey % (SELECT 1 + CAST(floor(count(*) * 0.8) AS BIGINT) FROM customer) AS STRING),
+       '@example.com') AS email
 FROM customer
 """
 
+# A ninth of the users change a dozen ids each, most of them their own; some users and ids do not exist.
 CHANGES_SQL = """
 SELECT e.event_id AS change_id, e.ts AS changed_at,
        CASE e.event_type WHEN 'error' THEN 'delete' WHEN 'signup' THEN 'create' WHEN 'purchase' THEN 'create' ELSE 'update' END AS op,
-       concat('user', CAST(e.user_id % 110 AS STRING), '@example.com') AS user_email,
+       concat(CASE WHEN e.event_id % 41 = 0 THEN 'ghost' ELSE 'user' END, CAST(e.event_id % active AS STRING), '@example.com') AS user_email,
        CASE WHEN e.event_type IN ('signup','purchase') THEN CAST(NULL AS BIGINT)
-            WHEN e.event_id % 5 = 0 THEN e.user_id % 110 + 100 * (e.event_id % 12) + 1
-            ELSE e.user_id % 110 + 100 * (e.event_id % 12) END AS favorite_id,
-       CASE WHEN e.event_id % 17 = 0 THEN ' ' ELSE 'toyota' END AS brand,
-       CASE WHEN e.event_id % 19 = 0 THEN NULL ELSE 'camry' END AS model,
+            ELSE e.event_id % active + users * (CAST(floor(e.event_id / 7) AS BIGINT) % 12) + CASE WHEN e.event_id % 5 = 0 THEN 1 ELSE 0 END
+       END AS favorite_id,
+       CASE WHEN e.event_id % 17 = 0 THEN ' ' ELSE concat('brand', CAST(e.event_id % 9 AS STRING)) END AS brand,
+       CASE WHEN e.event_id % 19 = 0 THEN NULL ELSE concat('model', CAST(e.event_id % 31 AS STRING)) END AS model,
+       CASE WHEN e.event_id % 29 = 0 THEN NULL ELSE CAST(1990 + e.event_id % 35 AS INT) END AS model_year,
+       CASE WHEN e.event_id % 31 = 0 THEN NULL ELSE CAST(e.event_id * 7 % 200000 AS DOUBLE) END AS mileage,
+       CASE WHEN e.event_id % 37 = 0 THEN NULL ELSE CAST(e.event_id % 8 AS DOUBLE) / 2 END AS engine,
+       CASE e.event_id % 4 WHEN 0 THEN 'gas' WHEN 1 THEN 'diesel' WHEN 2 THEN '' END AS fuel_type,
+       CASE e.event_id % 3 WHEN 0 THEN 'manual' WHEN 1 THEN 'automatic' END AS transmission,
+       CASE WHEN e.event_id % 11 = 0 THEN NULL ELSE e.event_id % 7 <> 0 END AS clean_title,
+       CASE WHEN e.event_id % 13 = 0 THEN NULL ELSE e.event_id % 6 = 0 END AS has_accident,
        CASE WHEN e.event_id % 23 = 0 THEN NULL ELSE e.value * 100 END AS predicted_price,
        e.props AS prediction_data
-FROM events e
+FROM (SELECT *, (SELECT count(*) FROM customer) AS users, (SELECT 1 + CAST(floor(count(*) / 9) AS BIGINT) FROM customer) AS active
+      FROM events) e
 """
 
 VIEWS = {

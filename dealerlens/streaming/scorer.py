@@ -16,7 +16,7 @@ from dealerlens.plans.training import TrainedModel
 
 
 def score_stream(requests: DataFrame, trained: TrainedModel, as_of_year: int = plan.AS_OF_YEAR) -> DataFrame:
-    return plan.score(requests, trained, as_of_year, by_pairs=False)
+    return plan.score(requests, trained, as_of_year)
 
 
 def start(requests: DataFrame, trained: TrainedModel, sink_path: str, checkpoint: str,

@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from canonical_cases import CASES
 from dealerlens.functions.text import strip_lower
-from dealerlens.operators.canonicalize import canonicalize, with_steps, with_steps_by_pairs
+from dealerlens.operators.canonicalize import canonicalize, with_steps
 
 
 def _frame(spark, rows):
@@ -17,13 +17,10 @@ def test_hand_traced_cases_row_path(spark):
         assert got[i] == (walk, alias), CASES[i]
 
 
-def test_pair_path_equals_row_path(spark):
-    rows = [(i, m, r) for i, (m, r, _, _) in enumerate(CASES * 3)]
-    df = _frame(spark, rows)
-    a = {r.i: r.model for r in with_steps(df).collect()}
-    b = {r.i: r.model for r in with_steps_by_pairs(df).collect()}
-    c = {r.i: r.model for r in with_steps_by_pairs(df, max_pairs=1).collect()}  # over the bound: row path
-    assert a == b == c
+def test_plan_is_lazy_and_does_not_shuffle(spark):
+    df = canonicalize(_frame(spark, [(i, m, r) for i, (m, r, _, _) in enumerate(CASES)]))
+    plan = df._jdf.queryExecution().toString()
+    assert "Exchange hashpartitioning" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
 def test_unicode_whitespace_and_digits(spark):

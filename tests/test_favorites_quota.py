@@ -23,10 +23,11 @@ def _users(spark):
 
 def _changes(spark, rows):
     return spark.createDataFrame(
-        [(cid, T0 + dt.timedelta(minutes=cid), op, email, fid, brand, model, price, None)
+        [(cid, T0 + dt.timedelta(minutes=cid), op, email, fid, brand, model, price, None, 2021, 60000.0, 2.5, "diesel", "manual", False, True)
          for cid, op, email, fid, brand, model, price in rows],
         "change_id long, changed_at timestamp, op string, user_email string, favorite_id long, brand string, "
-        "model string, predicted_price double, prediction_data string")
+        "model string, predicted_price double, prediction_data string, model_year int, mileage double, engine double, "
+        "fuel_type string, transmission string, clean_title boolean, has_accident boolean")
 
 
 def test_change_log_order_and_messages(spark):
@@ -38,7 +39,7 @@ def test_change_log_order_and_messages(spark):
         (5, "update", "nobody@x", 2, "x", "y", 1.0),            # user not found
         (6, "create", "b@x", None, " ", "civic", 5.0),          # blank brand
         (7, "create", "b@x", None, "kia", "soul", 7.0),         # created
-        (8, "update", "b@x", 1000000007, "kia", "rio", 8.0),    # update of the created row
+        (8, "update", "b@x", 9, "kia", "rio", 8.0),             # update of the created row (2 + 7)
         (9, "create", "nobody@x", None, "kia", "soul", 1.0),    # user not found
         (10, "create", "a@x", None, "kia", "soul", None),       # price missing
     ])
@@ -52,8 +53,10 @@ def test_change_log_order_and_messages(spark):
     assert msgs[9] == (fav.MSG_USER_NOT_FOUND, 400)  # create failures are always 400
     assert msgs[10] == (fav.MSG_PRICE, 400)
     snap = {r.id: r for r in out["snapshot"].collect()}
-    assert set(snap) == {2, 1000000007}
-    assert snap[1000000007].model == "rio" and snap[1000000007].mileage is None
+    assert set(snap) == {2, 9}
+    assert snap[9].model == "rio" and snap[9].user_id == 20
+    assert (snap[9].model_year, snap[9].mileage, snap[9].engine, snap[9].fuel_type) == (2021, 60000.0, 2.5, "diesel")
+    assert (snap[9].clean_title, snap[9].has_accident) == (False, True)
     assert snap[2].model == "civic"
     # every change is accounted for exactly once
     assert out["outcomes"].count() == ch.count()
@@ -73,8 +76,52 @@ def _brute_rejected(rows, limit, trunc):
 def test_quota_rejected_with_one_hot_client(spark):
     rows = [(i, "10.0.0.1" if i % 3 else f"10.0.1.{i % 7}", T0 + dt.timedelta(seconds=37 * i)) for i in range(3000)]
     df = spark.createDataFrame(rows, "request_id long, client_ip string, requested_at timestamp")
-    got = {r.request_id for r in quota.rejected(df, (("hour", "1 hour", 5),), salts=8).collect()}
+    got = {r.request_id for r in quota.rejected(df, (("hour", 3600, 5),)).collect()}
     want = _brute_rejected(rows, 5, lambda ts: ts.replace(minute=0, second=0, microsecond=0))
     assert got == want
-    use = quota.usage(df, (("hour", "1 hour", 5),))
+    use = quota.usage(df, (("hour", 3600, 5),))
     assert use.agg(F.sum("n")).first()[0] == 3000
+
+
+def test_ids_never_meet_and_outcomes_are_one_a_change(spark):
+    snap = _snapshot(spark).withColumn("id", F.when(F.col("id") == 1, F.lit(1_000_000_005)).otherwise(F.col("id")).cast("long"))
+    ch = _changes(spark, [(5, "create", "b@x", None, "kia", "soul", 7.0), (6, "update", "a@x", 1_000_000_005, "kia", "rio", 8.0)])
+    out = fav.apply_changes(snap, ch, _users(spark))
+    rows = {r.id: r for r in out["snapshot"].collect()}
+    assert sorted(rows) == [2, 1_000_000_005, 1_000_000_010] and rows[1_000_000_005].user_id == 10 and rows[1_000_000_010].user_id == 20
+    assert sorted(r.change_id for r in out["outcomes"].collect()) == [5, 6]
+
+
+def test_numbers_and_absent_fields(spark):
+    ch = _changes(spark, [(1, "create", "a@x", None, "kia", "soul", 7.0), (2, "update", "b@x", 2, "kia", "rio", 8.0)])
+    bad = fav.apply_changes(_snapshot(spark), ch.withColumn("mileage", F.lit("many")), _users(spark))
+    assert {r.change_id: r.message for r in bad["outcomes"].collect()} == {1: "Mileage must be a number", 2: None}
+    lean = ch.drop("has_accident", "clean_title", "fuel_type").withColumn("mileage", F.lit("12.5"))
+    rows = {r.id: r for r in fav.apply_changes(_snapshot(spark), lean, _users(spark))["snapshot"].collect()}
+    assert (rows[2].mileage, rows[2].clean_title, rows[2].has_accident, rows[2].fuel_type) == (12.5, True, False, None)
+    assert rows[3].brand == "kia" and rows[3].user_id == 10
+
+
+def test_rejected_scans_once_a_side_and_limits_ranks(spark, sf):
+    from dealerlens.sources.fixtures import fixture
+
+    plan = quota.rejected(fixture(spark, sf, "requests"), (("hour", 3600, 2), ("day", 86400, 15)))._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and plan.count("FileScan") <= 2 * 1
+
+
+def test_stream_upsert_replays_and_carries_on(spark, tmp_path):
+    from dealerlens.streaming import upsert
+
+    src, root = str(tmp_path / "changes"), str(tmp_path / "out")
+    first = _changes(spark, [(1, "create", "a@x", None, "kia", "soul", 7.0), (2, "update", "b@x", 2, "kia", "rio", 8.0)])
+    second = _changes(spark, [(3, "delete", "a@x", 1, None, None, None), (4, "update", "a@x", 3, "kia", "ev6", 9.0), (5, "update", "a@x", 99, "x", "y", 1.0)])
+    for batch in (first, second):
+        batch.coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(src)
+        q = upsert.start(stream, _snapshot(spark), _users(spark), root, str(tmp_path / "checkpoint"))
+        q.processAllAvailable()
+        q.stop()
+    got = {r.id: r.model for r in spark.read.parquet(upsert.version_path(root + "/snapshot", 1)).collect()}
+    want = fav.apply_changes(fav.apply_changes(_snapshot(spark), first, _users(spark))["snapshot"], second, _users(spark))
+    assert got == {r.id: r.model for r in want["snapshot"].collect()} == {2: "rio", 3: "ev6"}
+    assert [r.change_id for r in spark.read.parquet(upsert.version_path(root + "/rejected", 1)).collect()] == [5]

@@ -1,3 +1,4 @@
+import datetime as dt
 import os
 import tempfile
 
@@ -55,7 +56,7 @@ def test_stream_equals_batch(spark, sf):
     q.processAllAvailable()
     q.stop()
     got = sorted(tuple(r) for r in spark.sql("SELECT * FROM scored_stream").collect())
-    want = sorted(tuple(r) for r in plan.score(req, trained, by_pairs=False).collect())
+    want = sorted(tuple(r) for r in plan.score(req, trained).collect())
     assert got == want
 
 
@@ -68,9 +69,16 @@ def test_stream_quota_counts(spark, sf):
          .queryName("quota_stream").outputMode("append").start())
     q.processAllAvailable()
     q.stop()
-    # append mode only emits windows closed by the watermark: all but the last ones
-    streamed = spark.sql("SELECT sum(n) FROM quota_stream").first()[0]
-    assert 0 < streamed <= req.count()
+    # append mode emits the windows that the watermark (the latest request) has closed, with their exact counts
+    got = sorted((r.client_ip, r.window_start, r.n, r.over_limit) for r in spark.sql("SELECT * FROM quota_stream").collect())
+    times = [(r.client_ip, r.requested_at) for r in req.collect()]
+    latest = max(t for _, t in times)
+    want = {}
+    for ip, t in times:
+        start = t.replace(minute=0, second=0, microsecond=0)
+        if start + dt.timedelta(hours=1) <= latest:
+            want[ip, start] = want.get((ip, start), 0) + 1
+    assert got == sorted((ip, start, n, n > 2) for (ip, start), n in want.items())
 
 
 def test_bundle_round_trip(spark, sf):
@@ -107,5 +115,63 @@ def test_exact_percentile_matches_numpy(spark):
     assert abs(got - float(np.quantile(vals, 0.99))) < 1e-6
 
 
-def test_clamp_round():
-    assert sc.MIN_PRICE == 500.0
+def test_clamp_round(spark):
+    df = spark.createDataFrame([(-5.0,), (499.999,), (500.004,), (1234.567,), (9000.0,)], "p double")
+    got = [r[0] for r in df.select(sc.clamp_round(F.col("p"), 8000.456)).collect()]
+    assert got == [500.0, 500.0, 500.0, 1234.57, 8000.46]
+
+
+def _priced(spark, n=40):
+    """Listings whose price depends on the brand: a BMW X5 above a Honda Civic, other things equal."""
+    rows = [(k * 100 + j, price + 37.0 * j, 2015.0, 50000.0 + 100 * j, maker, model, "gas", "automatic", "fwd", "sedan", "good", "clean", "4 cylinders")
+            for k, (maker, model, price) in enumerate((("bmw", "x5", 40000.0), ("honda", "civic", 12000.0), ("ford", "f-150", 25000.0)))
+            for j in range(n)]
+    return spark.createDataFrame(rows, "listing_id long, price double, year double, odometer double, manufacturer string, model string, fuel string, "
+                                       "transmission string, drive string, type string, condition string, title_status string, cylinders string")
+
+
+def test_expensive_model_scores_above_a_cheap_one(spark, tmp_path):
+    trained, _ = tr.train(_priced(spark), tr.GBTParams(n_trees=20, max_depth=3, step_size=0.3))
+    body = '{"year":2015,"manufacturer":"%s","model":"%s","odometer":52000,"fuel":"gas","transmission":"automatic"}'
+    req = _requests(spark, [(1, "a", None, body % ("bmw", "x5")), (2, "a", None, body % ("honda", "civic"))])
+    plan.write_scores(req, trained, str(tmp_path / "scores"))  # S8
+    out = {r.request_id: r.prediction for r in spark.read.parquet(str(tmp_path / "scores")).collect()}
+    assert out[1] > out[2] + 10000
+
+
+def test_validation_curve_and_fit_on(spark):
+    params = tr.GBTParams(n_trees=7, max_depth=3, step_size=0.3)
+    trained, feats = tr.train(_priced(spark), params)
+    curve = [(r.n_trees, r.rmse) for r in tr.validation_curve(trained, feats, every=3).collect()]
+    assert [n for n, _ in curve] == [3, 6, 7] and curve[-1][1] < curve[0][1]
+    held = trained.model.transform(feats.where(F.col("split") == "test"))
+    rmse = held.select(F.sqrt(F.avg((F.col("price") - F.col("prediction")) ** 2))).first()[0]
+    assert abs(rmse - curve[-1][1]) < 1e-6 * rmse
+    only, _ = tr.train(_priced(spark), params, fit_on="train")
+    mean = _priced(spark).withColumn("split", tr.split_column()).where("split = 'train'").agg(F.avg("price")).first()[0]
+    assert abs(only.prep.global_mean - mean) < 1e-6 and only.prep.global_mean != trained.prep.global_mean
+
+
+def test_catalogue_has_thirty_brands_and_is_written(spark, tmp_path):
+    from dealerlens.operators import catalogue as cat
+    from dealerlens.sources.dims import known_models
+
+    rows = [(i, 1000.0 + i, m, names[0], "gas", "automatic", "fwd", "sedan") for i, (m, names) in enumerate(sorted(known_models().items())) for _ in range(15)]
+    df = spark.createDataFrame(rows, "listing_id long, price double, manufacturer string, model string, fuel string, transmission string, drive string, type string")
+    popular = cat.popular_models(df)
+    assert popular.select("manufacturer").distinct().count() >= 30
+    cat.write_car_options(cat.car_options(popular, df, cat.top_types(df)), str(tmp_path / "options"))
+    text = spark.read.text(str(tmp_path / "options")).first()[0]
+    assert '"brands_models"' in text and '"toyota"' in text
+
+
+def test_one_hot_unseen_values_are_zero(spark):
+    from dealerlens.operators import features as fe
+
+    seen = spark.createDataFrame([("gas", "automatic", "fwd", "suv"), ("diesel", "manual", "4wd", "other")], "fuel string, transmission string, drive string, type_clean string")
+    one_hot = fe.fit_one_hot(seen)
+    assert fe.feature_names(one_hot)[8:] == ["fuel_diesel", "fuel_gas", "trans_automatic", "trans_manual", "drive_4wd", "drive_fwd", "type_other", "type_suv"]
+    new = spark.createDataFrame([("hydrogen", "manual", None, "suv")], seen.schema)
+    row = fe.add_one_hot(new, one_hot).select("*", fe.active_one_hot(one_hot).alias("on"), fe.one_hot_sum(one_hot).alias("n")).first()
+    assert row["on"] == "trans_manual,type_suv" and row.n == 2
+    assert row.fuel_one_hot.toArray().tolist() == [0.0, 0.0] and row.type_one_hot.toArray().tolist() == [0.0, 1.0]
