@@ -1,9 +1,9 @@
 """Document fingerprints: a Merkle tree over sections, paragraphs, sentences and phrases.
 
 A text is cut without loss: into sections at blank lines, paragraphs at line
-feeds, sentences after closing marks, and phrases of a few words. A phrase's digest is that of its characters,
-any other node's that of its children's digests. Roots are equal if and only if texts are (but for
-collisions of 128-bit digests). Two trees are compared from the top: equal branches count
+feeds, sentences after closing marks, and phrases of a few words. A sentence's digest is that of its characters,
+any higher node's that of its children's digests; a phrase is short enough to stand for itself. Roots are equal if and only if texts
+are (but for collisions of 128-bit digests). Two trees are compared from the top: equal branches count
 whole, only differing ones are opened, which locates an edit and weighs what is left alike.
 """
 
@@ -28,28 +28,25 @@ _CUTS = (
     re.compile(r"\n"),  # paragraphs
     re.compile(r"[.!?…。！？]+\s+"),  # sentences
 )
-_WORD = re.compile(r"\s*\S+\s*")
 PHRASE = 3
 #: Sentences of fewer words have one word to a phrase; texts of fewer words, RUN code points.
 SHORT = 6
 RUN = 2
+_PHRASE = re.compile(r"\s*(?:\S+\s*){1,%d}" % PHRASE)
+_WORD = re.compile(r"\s*\S+\s*")
+_RUN = re.compile(r"(?s).{1,%d}" % RUN)
 
-Node = tuple[bytes, int, list]  # digest, code points, children
+#: Digest (a phrase: itself), code points, and the children, or a sentence's text and how it is cut.
+Node = tuple
 
 
 def _pieces(text: str, cut: re.Pattern) -> list[str]:
     ends = [m.end() for m in cut.finditer(text)]
-    if not ends or ends[-1] < len(text):
+    if not ends:
+        return [text]
+    if ends[-1] < len(text):
         ends.append(len(text))
-    return [text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-
-
-def _phrases(sentence: str, short: bool) -> list[str]:
-    if short:
-        return [sentence[k:k + RUN] for k in range(0, len(sentence), RUN)] or [sentence]
-    words = _WORD.findall(sentence)
-    size = PHRASE if len(words) >= SHORT else 1
-    return ["".join(words[k:k + size]) for k in range(0, len(words), size)] or [sentence]
+    return [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 def tree(text: str) -> Node:
@@ -59,10 +56,19 @@ def tree(text: str) -> Node:
 
 def _branch(text: str, level: int, short: bool) -> Node:
     if level == len(_CUTS):
-        kids: list = [(blake2b(p.encode(), digest_size=16).digest(), len(p), []) for p in _phrases(text, short)]
-    else:
-        kids = [_branch(p, level + 1, short) for p in _pieces(text, _CUTS[level])]
-    return blake2b(b"%d" % level + b"".join(k[0] for k in kids), digest_size=16).digest(), len(text), kids
+        return blake2b(text.encode(), digest_size=16).digest(), len(text), (text, short)
+    kids = [_branch(p, level + 1, short) for p in _pieces(text, _CUTS[level])]
+    return blake2b(b"%d" % level + b"".join([k[0] for k in kids]), digest_size=16).digest(), len(text), kids
+
+
+def children(node: Node) -> list[Node]:
+    """A node's branches; a sentence is cut into phrases when it is opened."""
+    kids = node[2]
+    if isinstance(kids, list):
+        return kids
+    text, short = kids
+    cut = _RUN if short else _PHRASE if len(text.split(None, SHORT)) >= SHORT else _WORD
+    return [(p, len(p), []) for p in cut.findall(text)]
 
 
 def likeness(a: Node, b: Node) -> float:
@@ -71,32 +77,38 @@ def likeness(a: Node, b: Node) -> float:
     On each level equal branches are paired, as often as both hold them; only the others are opened."""
     if a[0] == b[0]:
         return 1.0
-    alike, left, right = 0, a[2], b[2]
+    alike, left, right = 0, children(a), children(b)
     while left and right:
-        both = Counter(n[0] for n in left) & Counter(n[0] for n in right)
-        free_a, free_b, next_a, next_b = Counter(both), Counter(both), [], []
-        for n in left:
-            if free_a[n[0]] > 0:
-                free_a[n[0]] -= 1
-                alike += n[1]
-            else:
-                next_a += n[2]
-        for n in right:
-            if free_b[n[0]] > 0:
-                free_b[n[0]] -= 1
-            else:
-                next_b += n[2]
-        left, right = next_a, next_b
+        mine, theirs = [n[0] for n in left], [n[0] for n in right]
+        common = set(mine) & set(theirs)
+        if common:
+            both = Counter(x for x in mine if x in common) & Counter(x for x in theirs if x in common)
+            free_a, free_b = dict(both), dict(both)
+            left, alike = _unpaired(left, free_a, alike)
+            right, _ = _unpaired(right, free_b, 0)
+        left, right = [c for n in left for c in children(n)], [c for n in right for c in children(n)]
     return 2 * alike / (a[1] + b[1]) if a[1] + b[1] else 0.0
 
 
+def _unpaired(nodes: list[Node], free: dict, alike: int) -> tuple[list[Node], int]:
+    """The nodes beyond the number of each digest in ``free``, and ``alike`` plus the code points of the others."""
+    rest = []
+    for n in nodes:
+        if free.get(n[0], 0) > 0:
+            free[n[0]] -= 1
+            alike += n[1]
+        else:
+            rest.append(n)
+    return rest, alike
+
+
 def edit_range(a: Node, b: Node) -> tuple[int, int] | None:
     """The code points of ``a`` within which it differs from ``b``, down to phrases; None for equal trees."""
     if a[0] == b[0]:
         return None
     start, end = 0, a[1]
-    while a[2] and b[2]:
-        left, right = a[2], b[2]
+    while True:
+        left, right = children(a), children(b)
         k = 0
         while k < min(len(left), len(right)) and left[k][0] == right[k][0]:
             start += left[k][1]
@@ -105,10 +117,9 @@ def edit_range(a: Node, b: Node) -> tuple[int, int] | None:
         while left and right and left[-1][0] == right[-1][0]:
             end -= left[-1][1]
             left, right = left[:-1], right[:-1]
-        if len(left) != 1 or len(right) != 1:
-            break
+        if len(left) != 1 or len(right) != 1 or isinstance(left[0][0], str):
+            return start, end
         a, b = left[0], right[0]
-    return start, end
 
 
 def edited(text: str, other: str) -> str:
