@@ -90,9 +90,9 @@ class GBTParams:
     min_instances_per_node: int = 5
     max_bins: int = 256
     seed: int = SPLIT_SEED
-    # how it is computed: node ids kept from level to level, larger node groups (fewer passes), lineage cut
+    # how it is computed: larger node groups (fewer passes a level), lineage cut
     max_memory_mb: int = 1024
-    cache_node_ids: bool = True
+    cache_node_ids: bool = False
     checkpoint_interval: int = 10
 
 
