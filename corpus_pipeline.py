@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dealerlens.llm import decontaminate, line_dedup, packing, simhash, toxicity
-from dealerlens.llm.common import table
+from dealerlens.llm.common import shipped, table
 from dealerlens.session import materialize
 
 
@@ -43,13 +43,13 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 #: (name, function) in order; a function takes (spark, docs, sf_dir) and returns a DataFrame.
-STAGES = [
+STAGES = [(name, shipped(stage)) for name, stage in (
     ("toxicity", toxicity_stage),
     ("line_dedup", line_dedup_stage),
     ("near_dedup", near_dedup_stage),
     ("decontaminate", decontaminate_stage),
     ("packing", packing_stage),
-]
+)]
 
 #: SQL has no counterpart for the toxicity model, XXH64 and the tokenizer; the stages are tested against brute force.
 ORACLE_SQL = None

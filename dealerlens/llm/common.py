@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import os
+import shutil
+import tempfile
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,3 +33,28 @@ def keyed_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the workers this package, once an application, unless PYTHONPATH names its folder for them already."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    app = spark.sparkContext.applicationId
+    if app in _shipped or root in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    base = os.path.join(tempfile.mkdtemp(prefix="dealerlens-ship-"), "dealerlens")
+    spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", root, "dealerlens"))
+    _shipped.add(app)
+
+
+def shipped(job: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``job`` (whose first argument is the session) with the package shipped before it runs."""
+
+    @functools.wraps(job)
+    def run(spark: SparkSession, *args) -> DataFrame:
+        ship(spark)
+        return job(spark, *args)
+
+    return run

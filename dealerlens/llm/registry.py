@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from dealerlens.llm import decontaminate, html_extract, licenses, line_dedup, merkle, packing, simhash, token_files, token_orc, toxicity
+from dealerlens.llm.common import shipped
 
 
 def queries():
-    return {
+    own = {
         "op1_line_dedup": line_dedup.op1_line_dedup,
         "op2_simhash": simhash.op2_simhash,
         "op3_merkle": merkle.op3_merkle,
@@ -18,6 +19,7 @@ def queries():
         "op9_token_orc": token_orc.op9_token_orc,
         "op10_license_scan": licenses.op10_license_scan,
     }
+    return {name: shipped(query) for name, query in own.items()}
 
 
 def oracle_sql() -> dict[str, str]:
