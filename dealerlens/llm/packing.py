@@ -100,18 +100,18 @@ def _blocks(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = word_tokenizer(path)
         for batch in batches:
-            out: list[list] = [[] for _ in _BLOCKS]
-            ids_of = tok.encode(batch.column("text").to_pylist())
-            for row, id_, ids in zip(batch.column("row").to_pylist(), batch.column("id").to_pylist(), ids_of, strict=True):
-                ids += end
-                n = len(ids) // 4
-                for start in range(0, n, capacity):
-                    length = min(capacity, n - start)
-                    for col, v in zip(out, (row, id_, start, length, n, ids[4 * start:4 * (start + length)]), strict=True):
-                        col.append(v)
-            for k in range(0, len(out[0]), 2000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[k:k + 2000], f.type) for c, f in zip(out, schema, strict=True)],
-                                                 schema=schema)
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                out: list[list] = [[] for _ in _BLOCKS]
+                ids_of = tok.encode(part.column("text").to_pylist())
+                for row, id_, ids in zip(part.column("row").to_pylist(), part.column("id").to_pylist(), ids_of, strict=True):
+                    ids += end
+                    n = len(ids) // 4
+                    for start in range(0, n, capacity):
+                        length = min(capacity, n - start)
+                        for col, v in zip(out, (row, id_, start, length, n, ids[4 * start:4 * (start + length)]), strict=True):
+                            col.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
     return run
 

@@ -78,26 +78,26 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split: list[list[bytes] | str] = []
-        for text in texts:
-            raw = text.encode()
-            if _SPECIAL in raw or any(c in raw for c in _COMBINING):
-                split.append(text)
-            else:
-                split.append(raw.lower().split())
         out: list[bytes] = []
-        for k in range(0, len(split), 256):
+        for k in range(0, len(texts), 256):  # words of so many texts are held at once
             if len(self.known) > MAX_WORDS:
                 self.known.clear()
-            get, found, new = self.known.get, [], set()
-            for words in split[k:k + 256]:
-                ids = [self.whole(words)] if isinstance(words, str) else list(map(get, words))
+            get, split, found, new = self.known.get, [], [], set()
+            for text in texts[k:k + 256]:
+                raw = text.encode()
+                if _SPECIAL in raw or any(c in raw for c in _COMBINING):
+                    split.append(())
+                    found.append([self.whole(text)])
+                    continue
+                words = raw.lower().split()
+                ids = list(map(get, words))
                 if None in ids:
                     new.update(w for w, i in zip(words, ids, strict=True) if i is None)
+                split.append(words)
                 found.append(ids)
             if new:
                 self._learn(new)
-                for words, ids in zip(split[k:k + 256], found, strict=True):
+                for words, ids in zip(split, found, strict=True):
                     if None in ids:
                         ids[:] = map(get, words)
             out += map(b"".join, found)

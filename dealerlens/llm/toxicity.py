@@ -95,7 +95,7 @@ class Chain:
     def evidence(self, token: str) -> float | None:
         """The summed weight of a token's lexicon features; None if it has none."""
         if token not in self._known:
-            if len(self._known) > 500_000:
+            if len(self._known) > 200_000:
                 self._known.clear()
             own = [self.index[f] for f in features(word_of(token)) if f in self.index]
             self._known[token] = float(self.weights[own].sum()) if own else None
