@@ -175,13 +175,15 @@ def fit_chain(feats: np.ndarray, labels: np.ndarray, n_features: int) -> tuple[n
         pair /= pair.sum(axis=(2, 3), keepdims=True)
         pair *= real[..., None, None]
         p = pair[..., 1].sum(axis=2)
-        before = np.concatenate([pair[:, 0].sum(axis=2)[:, None], np.eye(2)[y[:, :-1]]], axis=1)
+        first = a[:, y[:, 0]].T * np.array([1.0, np.exp(start)])  # the state before the first token is never seen
+        first /= first.sum(axis=1, keepdims=True)
+        before = np.concatenate([first[:, None], np.eye(2)[y[:, :-1]]], axis=1)
         seen = before[..., :, None] * np.eye(2)[y][..., None, :] * real[..., None, None]
         diff = (y - p) * real
         grad = np.zeros_like(theta)
         grad[:n_features + 1] = np.bincount(feats.ravel(), np.repeat(diff.ravel(), feats.shape[2]), n_features + 1)
         grad[n_features + 1] = diff.sum()
-        grad[n_features + 2] = -(pair[:, 0, 1].sum(axis=1)).sum() * 0.1
+        grad[n_features + 2] = ((first[:, 1] - pair[:, 0, 1].sum(axis=1)) * real[:, 0]).sum()
         grad[-4:] = (seen - pair).sum(axis=(0, 1)).ravel()
         grad = grad / max(1, real.sum()) * 50 - 3e-4 * theta
         grad[n_features] = 0.0
