@@ -57,6 +57,8 @@ def _write(tokenizer_path: str, end_id: int, folder: str):
                         [pa.array([name] * rows.num_rows), pa.array(range(n, n + rows.num_rows), pa.int64()), rows.column("id")],
                         names=["file", "ordinal", "doc_id"])
                     n += rows.num_rows
+        if store.get_file_info(f"{root}/{name}").is_file:  # of an earlier attempt; not every store moves over a file
+            store.delete_file(f"{root}/{name}")
         store.move(part, f"{root}/{name}")
 
     return run
@@ -130,4 +132,5 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     folder = scratch_path(spark, "token_files")
     names = write_token_files(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
-    return names.join(count_tokens(spark, folder), ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")
+    # both sides have a row a document: shuffled, so that neither is ever sent whole to every task
+    return names.join(count_tokens(spark, folder).hint("merge"), ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")
