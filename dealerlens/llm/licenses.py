@@ -9,6 +9,7 @@ in that order, with anything in between. A rule that contains another one's sequ
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,8 +43,37 @@ SENTENCES = {
     "cc-by-long": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc-by-sa-long": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
+    "all-rights": "All rights reserved.",
+    "bsd-author": "The name of the author may not be used to endorse or promote products derived from this software without specific prior written permission.",
+    "gpl2-free": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "gpl2-only": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    "gpl2-short": "This work is licensed under the GNU General Public License, version 2.",
+    "lgpl21-free": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl3-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl21-short": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "lgpl3-short": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "agpl3-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl3-short": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "mpl-short": "Licensed under the Mozilla Public License, Version 2.0.",
+    "cc0-waiver": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "cc0-short": "Licensed under CC0 1.0.",
+    "cc0-long": "This work is licensed under a Creative Commons Zero v1.0 Universal License.",
+    "cc-by-nd-short": "Licensed under CC BY-ND 4.0.",
+    "cc-by-nc-sa-short": "Licensed under CC BY-NC-SA 4.0.",
+    "cc-by-nc-nd-short": "Licensed under CC BY-NC-ND 4.0.",
+    "cc-by-nd-long": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "cc-by-nc-long": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "cc-by-nc-sa-long": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "cc-by-nc-nd-long": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
 }
 
+# SPDX identifiers whose SPDX-License-Identifier line is known. "GPL-2.0+" reads like "GPL-2.0" once normalised.
+SPDX = ("0BSD AFL-3.0 AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 "
+        "CC-BY-NC-4.0 CC-BY-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-NC-ND-4.0 EPL-1.0 EPL-2.0 EUPL-1.2 GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only "
+        "GPL-3.0-or-later ISC LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later MIT MIT-0 MPL-2.0 Unlicense WTFPL Zlib").split()
+SPDX += ["MIT OR Apache-2.0", "Apache-2.0 OR MIT"]
+SENTENCES |= {"spdx-" + x.lower().replace(" ", "-"): "SPDX-License-Identifier: " + x for x in SPDX}
+
 # Which sentences, in which order, make which licence.
 RULES = [
     ("mit-text", "MIT", ["mit-grant", "mit-notice", "as-is-software"]),
@@ -65,14 +95,39 @@ RULES = [
     ("cc-by-long", "CC-BY-4.0", ["cc-by-long"]),
     ("cc-by-sa-long", "CC-BY-SA-4.0", ["cc-by-sa-long"]),
     ("unlicense", "Unlicense", ["unlicense"]),
+    ("all-rights-reserved", "LicenseRef-All-Rights-Reserved", ["all-rights"]),
+    ("bsd-3-author", "BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-author"]),
+    ("gpl-2-free", "GPL-2.0-or-later", ["gpl2-free"]),
+    ("gpl-2-only", "GPL-2.0-only", ["gpl2-only"]),
+    ("gpl-2-short", "GPL-2.0-only", ["gpl2-short"]),
+    ("lgpl-2.1-free", "LGPL-2.1-or-later", ["lgpl21-free"]),
+    ("lgpl-3-free", "LGPL-3.0-or-later", ["lgpl3-free"]),
+    ("lgpl-2.1-short", "LGPL-2.1-only", ["lgpl21-short"]),
+    ("lgpl-3-short", "LGPL-3.0-only", ["lgpl3-short"]),
+    ("agpl-3-free", "AGPL-3.0-or-later", ["agpl3-free"]),
+    ("agpl-3-short", "AGPL-3.0-only", ["agpl3-short"]),
+    ("mpl-2-short", "MPL-2.0", ["mpl-short"]),
+    ("cc0-waiver", "CC0-1.0", ["cc0-waiver"]),
+    ("cc0-short", "CC0-1.0", ["cc0-short"]),
+    ("cc0-long", "CC0-1.0", ["cc0-long"]),
+    ("cc-by-nd-short", "CC-BY-ND-4.0", ["cc-by-nd-short"]),
+    ("cc-by-nc-sa-short", "CC-BY-NC-SA-4.0", ["cc-by-nc-sa-short"]),
+    ("cc-by-nc-nd-short", "CC-BY-NC-ND-4.0", ["cc-by-nc-nd-short"]),
+    ("cc-by-nd-long", "CC-BY-ND-4.0", ["cc-by-nd-long"]),
+    ("cc-by-nc-long", "CC-BY-NC-4.0", ["cc-by-nc-long"]),
+    ("cc-by-nc-sa-long", "CC-BY-NC-SA-4.0", ["cc-by-nc-sa-long"]),
+    ("cc-by-nc-nd-long", "CC-BY-NC-ND-4.0", ["cc-by-nc-nd-long"]),
+    *(("spdx-" + x.lower().replace(" ", "-"), x, ["spdx-" + x.lower().replace(" ", "-")]) for x in SPDX),
 ]
 
 #: Rules whose sequence begins another rule's: (superseded, by).
-SUPERSEDED = [("bsd-2-text", "bsd-3-text"), ("apache-header", "apache-header-url"), ("gpl-3-free", "gpl-3-header")]
+SUPERSEDED = [("bsd-2-text", "bsd-3-text"), ("bsd-2-text", "bsd-3-author"), ("apache-header", "apache-header-url"), ("gpl-3-free", "gpl-3-header")]
 
 _BLANK = r"[\x20\x09-\x0D]"
-_SENTENCE_END = rf"[.!?:]+({_BLANK}+|\z)|\n{_BLANK}*\n"
-_LINE_END = r"\n"
+#: What opens BSD's endorsement sentence, whoever is named, ends a unit too, so that the sentence is known by its rest.
+_NEITHER = "[^a-z0-9]+".join(["neither", "the", "name", "of", "[^;]{1,200}?", "nor", "the", "names", "of", "(?:its|any|other)", "contributors"])
+_SENTENCE_END = rf"[.!?:]+({_BLANK}+|\z)|\n{_BLANK}*\n|{_NEITHER}"
+_LINE_END = rf"\n|{_NEITHER}"
 _OTHER = r"[^\p{L}\p{N}\x01]+"
 _MARK = "\x01"
 
@@ -89,20 +144,22 @@ def units(text: Column, end: str) -> Column:
 
 
 def _longest_unit(sentence: str, end: str) -> str:
-    return max((normalise(u) for u in re.split(end.replace(r"\z", r"\Z").replace("+(", "+(?:"), sentence)), key=len)
+    return max((normalise(u) for u in re.split(end.replace(r"\z", r"\Z").replace("+([", "+(?:["), sentence.lower())), key=len)
 
 
-#: (unit, sentence_id): by which unit a known sentence is recognised; one that is cut in several, by its longest.
-KNOWN = sorted({(_longest_unit(s, end), k) for k, s in SENTENCES.items() for end in (_SENTENCE_END, _LINE_END)})
+_BY_UNIT = {(_longest_unit(s, end), k) for k, s in SENTENCES.items() for end in (_SENTENCE_END, _LINE_END)}
+_SHARED = Counter(u for u, _ in _BY_UNIT)
+#: (unit, sentence_id): by which unit a known sentence is recognised; one that is cut in several, by its longest. A unit of
+#: several sentences (what stands before the colon of the SPDX lines) tells none.
+KNOWN = sorted((u, k) for u, k in _BY_UNIT if _SHARED[u] == 1)
 
 
-def _chain(seq: Column, steps: list[str]) -> Column:
+def _chain(seq: Column, steps: Column) -> Column:
     """The earliest run through ``steps`` in ``seq``: how many steps it takes, first and last position."""
     start = F.struct(F.lit(0).alias("step"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
-    wanted = F.array(*map(F.lit, steps))
 
     def on(at: Column, x: Column) -> Column:
-        hit = (at["step"] < len(steps)) & (x["pos"] > at["last"]) & (F.get(wanted, at["step"]) == x["sentence_id"])
+        hit = (at["step"] < F.size(steps)) & (x["pos"] > at["last"]) & (F.get(steps, at["step"]) == x["sentence_id"])
         new = F.struct((at["step"] + 1).alias("step"), F.when(at["step"] == 0, x["pos"]).otherwise(at["first"]).alias("first"),
                        x["pos"].alias("last"))
         return F.when(hit, new).otherwise(at)
@@ -126,8 +183,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     known = docs.sparkSession.createDataFrame(KNOWN, "unit string, sentence_id string")  # a fixed table
     found = each.join(F.broadcast(known), "unit")
     seqs = found.groupBy("doc_id", "cut").agg(F.sort_array(F.collect_set(F.struct("pos", "sentence_id"))).alias("seq"))
-    tried = F.array(*(F.struct(F.lit(rule).alias("rule_id"), F.lit(name).alias("licence"), F.lit(len(steps)).alias("n_sentences"),
-                               _chain(F.col("seq"), steps).alias("at")) for rule, name, steps in RULES))
+    rules = F.array(*(F.struct(F.lit(rule).alias("rule_id"), F.lit(name).alias("licence"), F.array(*map(F.lit, steps)).alias("steps"))
+                      for rule, name, steps in RULES))
+    tried = F.transform(rules, lambda r: F.struct(r["rule_id"].alias("rule_id"), r["licence"].alias("licence"), F.size(r["steps"]).alias("n_sentences"),
+                                                  _chain(F.col("seq"), r["steps"]).alias("at")))
     held = seqs.select("doc_id", "cut", F.filter(tried, lambda r: r["at"]["step"] == r["n_sentences"]).alias("held"))
     rules = F.transform("held", lambda r: r["rule_id"])
     above = F.array(*(F.when(F.array_contains(rules, by), F.lit(low)) for low, by in SUPERSEDED))

@@ -1,6 +1,6 @@
 import duckdb
 
-from cases import SF, edge_docs, rows_of
+from cases import SF, documents, edge_docs, rows_of
 from dealerlens.llm import licenses as op
 
 
@@ -30,3 +30,27 @@ def test_query_matches_sql(spark):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
     df = op.op10_license_scan(spark, SF)
     assert sorted(map(tuple, df.collect())) == sorted(con.execute(op.OP10_SQL).fetchall())
+
+
+def test_licence_lines_listed_by_hand(spark):
+    # Written out here, not taken from the module's tables.
+    bsd = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n"
+           "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n"
+           "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n"
+           "3. Neither the name of Foo Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n")
+    lines = {"All rights reserved.": "LicenseRef-All-Rights-Reserved", "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+             "Released under the MIT License.": "MIT", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0-only",
+             "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "// SPDX-License-Identifier: GPL-2.0-only": "GPL-2.0-only",
+             "/* SPDX-License-Identifier: MIT */": "MIT", "Licensed under CC0 1.0.": "CC0-1.0", bsd: "BSD-3-Clause",
+             "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.": "LGPL-2.1-or-later",
+             "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": "AGPL-3.0-or-later"}
+    got = {(r.doc_id, r.licence) for r in op.scan_licenses(edge_docs(spark, [(k, "Some prose.\n" + t + "\nMore.") for k, t in enumerate(lines)])).collect()}
+    assert got == set(enumerate(lines.values()))
+
+
+def test_licence_lines_of_the_tables_are_all_found(spark):
+    d = documents()
+    held = {i for i, t in zip(d.doc_id, d.text, strict=True) if any(x in (t or "").split("\n") for x in (
+        "All rights reserved.", "Licensed under the Apache License, Version 2.0.", "Released under the MIT License.",
+        "This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0."))}
+    assert held and held <= {r.doc_id for r in op.op10_license_scan(spark, SF).collect()}
