@@ -126,7 +126,8 @@ SUPERSEDED = [("bsd-2-text", "bsd-3-text"), ("bsd-2-text", "bsd-3-author"), ("ap
 _BLANK = r"[\x20\x09-\x0D]"
 #: What opens BSD's endorsement sentence, whoever is named, ends a unit too, so that the sentence is known by its rest.
 _NEITHER = "[^a-z0-9]+".join(["neither", "the", "name", "of", "[^;]{1,200}?", "nor", "the", "names", "of", "(?:its|any|other)", "contributors"])
-_SENTENCE_END = rf"[.!?:]+({_BLANK}+|\z)|\n{_BLANK}*\n|{_NEITHER}"
+#: Lines without a letter or digit, as the empty ones of comment blocks ('#', ' *', '//'), end a sentence like empty lines.
+_SENTENCE_END = rf"[.!?:]+({_BLANK}+|\z)|\n(?:[^\p{{L}}\p{{N}}\n]*\n)+|{_NEITHER}"
 _LINE_END = rf"\n|{_NEITHER}"
 _OTHER = r"[^\p{L}\p{N}\x01]+"
 _MARK = "\x01"
@@ -144,7 +145,7 @@ def units(text: Column, end: str) -> Column:
 
 
 def _longest_unit(sentence: str, end: str) -> str:
-    return max((normalise(u) for u in re.split(end.replace(r"\z", r"\Z").replace("+([", "+(?:["), sentence.lower())), key=len)
+    return max((normalise(u) for u in re.split(end.replace(r"\z", r"\Z").replace(r"\p{L}\p{N}", r"\w").replace("+([", "+(?:["), sentence.lower())), key=len)
 
 
 _BY_UNIT = {(_longest_unit(s, end), k) for k, s in SENTENCES.items() for end in (_SENTENCE_END, _LINE_END)}

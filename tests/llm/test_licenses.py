@@ -54,3 +54,12 @@ def test_licence_lines_of_the_tables_are_all_found(spark):
         "All rights reserved.", "Licensed under the Apache License, Version 2.0.", "Released under the MIT License.",
         "This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0."))}
     assert held and held <= {r.doc_id for r in op.op10_license_scan(spark, SF).collect()}
+
+
+def test_headers_in_comment_blocks_are_read(spark):
+    apache = ('{0} Copyright 2020 Foo\n{0}\n{0} Licensed under the Apache License, Version 2.0 (the "License");\n{0} you may not use this file except in compliance\n'
+              '{0} with the License.\n{0}\n{0} Unless required')
+    mit = op.SENTENCES["mit-grant"].replace(" copy, modify", "\n * copy, modify")
+    mit = f"/*\n * Copyright (c) 2020 Foo\r\n *\r\n * {mit}\n *\n * {op.SENTENCES['mit-notice']}\n *\n * {op.SENTENCES['as-is-software']}\n */"
+    got = rows_of(op.scan_licenses(edge_docs(spark, [(1, apache.format("#")), (2, apache.format(" *")), (3, apache.format("//")), (4, mit)])), "doc_id", "cut", "rule_id")
+    assert [g for g in got if g[1] == "sentence"] == [(1, "sentence", "apache-header"), (2, "sentence", "apache-header"), (3, "sentence", "apache-header"), (4, "sentence", "mit-text")]
