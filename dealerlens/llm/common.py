@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dealerlens.session import materialize
+
 #: The white space the text rules know: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -31,6 +33,15 @@ def keyed_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+#: The column by which stages that drop rows tell them apart; ids may be null or repeated.
+ROW_KEY = "_row_key"
+
+
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of each row in ROW_KEY, written to the shared folder so that every reader sees the same keys."""
+    return materialize(docs.withColumn(ROW_KEY, F.monotonically_increasing_id()), "keyed_rows")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealerlens.llm.common import table
+from dealerlens.llm.common import ROW_KEY, table, with_row_key
 from dealerlens.session import materialize
 
 WINDOW = 5
@@ -126,10 +126,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows of contaminated documents; columns as they are."""
-    bad = materialize(find_contamination(docs, benchmark, id_col, text_col).select("doc_id").distinct()
-                      .withColumnRenamed("doc_id", "_contaminated"), "contaminated")
-    return docs.join(bad, docs[id_col].cast("long").eqNullSafe(bad["_contaminated"]), "left_anti")
+    """``docs`` without its contaminated rows, each judged for itself whatever its id (``id_col`` is not read); columns as they are."""
+    keyed = with_row_key(docs)
+    bad = materialize(find_contamination(keyed, benchmark, ROW_KEY, text_col).select(F.col("doc_id").alias(ROW_KEY)).distinct(), "contaminated")
+    return keyed.join(bad, ROW_KEY, "left_anti").drop(ROW_KEY)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

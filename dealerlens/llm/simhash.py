@@ -23,10 +23,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealerlens.llm.common import partitions, table
+from dealerlens.llm.common import ROW_KEY, partitions, table, with_row_key
 from dealerlens.llm.graph import components
 from dealerlens.session import materialize
 
@@ -62,7 +62,8 @@ def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(prints.view(np.int64))], names=["id", "print"])
+            kept = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(prints.view(np.int64))], names=[*kept, "print"])
 
     return run
 
@@ -226,10 +227,26 @@ def _compare(max_bits: int):
     return run
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, print) of every row, the fingerprint as a signed long, in the shared folder."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return materialize(rows.mapInArrow(_fingerprints(shingle), "id long, print long"), "simhash")
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, row_col: str | None = None) -> DataFrame:
+    """(id, print) of every row, the fingerprint as a signed long, in the shared folder; with ``row_col`` also that column, as row."""
+    row = [F.col(row_col).alias("row")] if row_col else []
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), *row, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return materialize(rows.mapInArrow(_fingerprints(shingle), "id long, row long, print long" if row else "id long, print long"), "simhash")
+
+
+def _first_of_component(prints: DataFrame, key: Column, max_bits: int) -> DataFrame:
+    """(print, first): of every distinct fingerprint, the least ``key`` of its component's rows."""
+    if not 0 <= max_bits <= 2:
+        raise ValueError("max_bits must be 0, 1 or 2: the replicas grow steeply beyond")
+    distinct = materialize(prints.groupBy("print").agg(F.min(key).alias("first")), "simhash_distinct")
+    replicas = distinct.select("print").mapInArrow(_replicate(max_bits), "anchor long, print long, home boolean")
+    met = replicas.repartition(partitions(prints.sparkSession), "anchor").sortWithinPartitions("anchor")
+    edges = met.mapInArrow(_compare(max_bits), "a long, b long")
+    roots = components(edges)
+    groups = distinct.join(roots.withColumnRenamed("node", "print"), "print", "left").select(
+        "print", "first", F.coalesce("root", "print").alias("root"))
+    least = groups.groupBy("root").agg(F.min("first").alias("least"))
+    return groups.join(least, "root").select("print", F.col("least").alias("first"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
@@ -241,29 +258,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id is the smallest doc_id reachable, a null id aside (null where a component has only such). Repeated
     rows stay; an empty table gives an empty result; other columns are ignored.
     """
-    if not 0 <= max_bits <= 2:
-        raise ValueError("max_bits must be 0, 1 or 2: the replicas grow steeply beyond")
     prints = fingerprints(docs, id_col, text_col, shingle)
-    distinct = materialize(prints.groupBy("print").agg(F.min("id").alias("first")), "simhash_distinct")
-    replicas = distinct.select("print").mapInArrow(_replicate(max_bits), "anchor long, print long, home boolean")
-    met = replicas.repartition(partitions(docs.sparkSession), "anchor").sortWithinPartitions("anchor")
-    edges = met.mapInArrow(_compare(max_bits), "a long, b long")
-    roots = components(edges)
-    groups = distinct.join(roots.withColumnRenamed("node", "print"), "print", "left").select(
-        "print", "first", F.coalesce("root", "print").alias("root"))
-    least = groups.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_print = groups.join(least, "root").select("print", "component_id")
+    of_print = _first_of_component(prints, F.col("id"), max_bits)
     return prints.join(of_print, "print").select(
-        F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+        F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), F.col("first").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
              max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` with one document of each component, that of the smallest id; columns as they are. Rows that share a kept id
-    all stay, as do rows of null id unless a document with an id is in their component."""
-    found = near_duplicates(docs, id_col, text_col, shingle, max_bits)
-    gone = materialize(found.filter("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_near_copy")).distinct(), "near_copies")
-    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["_near_copy"]), "left_anti")
+    """``docs`` with one document of each component, that of the smallest id; columns as they are. Rows of the component that
+    share the kept id all stay; where all its ids are null, one row stays. Rows go one by one, each by its own key: a row with a null
+    or repeated id that is linked to nothing stays, whatever happens to the others of its id."""
+    keyed = with_row_key(docs)
+    prints = fingerprints(keyed, id_col, text_col, shingle, ROW_KEY)
+    key = F.struct(F.col("id").isNull().alias("no_id"), "id", "row")
+    of_print = _first_of_component(prints, key, max_bits)
+    kept = F.when(F.col("first.no_id"), F.col("row") == F.col("first.row")).otherwise(F.col("id").eqNullSafe(F.col("first.id")))
+    gone = materialize(prints.join(of_print, "print").filter(~kept).select(F.col("row").alias(ROW_KEY)), "near_copies")
+    return keyed.join(gone, ROW_KEY, "left_anti").drop(ROW_KEY)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,3 +45,16 @@ def test_contaminated_documents_go(spark):
     items = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
     docs = edge_docs(spark, [(1, f"Some words of its own. {items} And more."), (2, "A clean text."), (3, ITEM)])
     assert rows_of(pipeline.decontaminate_stage(spark, docs, SF), "doc_id") == [(2,), (3,)]
+
+
+def test_rows_of_null_and_repeated_ids_go_one_by_one(spark):
+    copy, other, third = (" ".join(f"{w}{k}" for k in range(40)) for w in ("red", "blue", "green"))
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    docs = edge_docs(spark, [(1, copy), (None, copy), (None, other), (2, third), (2, copy), (3, third), (None, "lone"), (None, "lone")])
+    near = pipeline.near_dedup_stage(spark, docs, SF)
+    assert near.columns == docs.columns
+    assert rows_of(near, "doc_id", "text") == sorted([(1, copy), (None, other), (2, third), (None, "lone")], key=repr)
+    docs = edge_docs(spark, [(None, item), (None, "A clean text."), (4, item), (4, "Another clean text.")])
+    clean = pipeline.decontaminate_stage(spark, docs, SF)
+    assert clean.columns == docs.columns
+    assert rows_of(clean, "doc_id", "text") == sorted([(None, "A clean text."), (4, "Another clean text.")], key=repr)
