@@ -3,9 +3,11 @@
 Texts become tokens: words, numbers, names (capitalised words within a sentence) and units (after a number). A template
 has a typed placeholder for each number, name and unit and the lower-cased word otherwise, so a question with other
 numbers or names has the same template. Windows of ``WINDOW`` template tokens are hashed, and the documents' windows are
-hash-joined to the benchmark's. Matches are gathered by document, item and alignment. An alignment counts if its slots
-are consistent: each value in the item stands for one value in the document throughout. A document is contaminated
-by an item if its consistent alignments cover ``MIN_COVER`` of the item's tokens.
+hash-joined to the benchmark's. Matches are gathered by document, item and alignment, and each value of the item is judged
+within its alignment. One that is replaced at every place may become several values (it plays several roles). One that is
+kept at some places and replaced at others stands for the value it has at most of them; windows with another one (all of
+them, if no value has the majority) are dropped. A document is contaminated by an item if the remaining windows cover ``MIN_COVER`` of the
+item's tokens.
 """
 
 from __future__ import annotations
@@ -54,7 +56,7 @@ def _placeholder(token: Column) -> Column:
 
 
 def windows(rows: DataFrame, text_col: str, sizes: list[int]) -> DataFrame:
-    """``rows`` without its text, with n_tokens, size, pos, hash and slots (the values of the slots, in order) of every
+    """``rows`` without its text, with n_tokens, size, pos, hash and slots (the value at each token, empty where it is no slot) of every
     template window of each of ``sizes``."""
     keep = [c for c in rows.columns if c != text_col]
     raw = rows.select(*keep, tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("raw"))
@@ -67,7 +69,7 @@ def windows(rows: DataFrame, text_col: str, sizes: list[int]) -> DataFrame:
         def cut(i: Column) -> Column:
             return F.struct(F.lit(size).alias("size"), i.alias("pos"),
                             F.xxhash64(*(F.get("ids", i + k) for k in range(size))).alias("hash"),
-                            F.array_join(F.slice("vals", i + 1, size), " ").alias("slots"))
+                            F.array_join(F.slice("vals", i + 1, size), " ", "").alias("slots"))
 
         every = F.transform(F.sequence(F.lit(0), F.col("n_tokens") - size), cut)
         return F.when(F.col("n_tokens") >= size, every)
@@ -83,12 +85,26 @@ def _values(slots: Column) -> Column:
     return F.when(slots == "", F.array().cast("array<string>")).otherwise(F.split(slots, " "))
 
 
+def _conflicting(pairs: Column) -> Column:
+    """Of an alignment's pairs (at, item, doc), those that its windows must not hold."""
+    def items(of: Column) -> Column:
+        return F.array_distinct(F.transform(of, lambda p: p["item"]))
+
+    mixed = F.array_intersect(items(F.filter(pairs, lambda p: p["item"] == p["doc"])), items(F.filter(pairs, lambda p: p["item"] != p["doc"])))
+
+    def loses(p: Column) -> Column:
+        own = F.filter(pairs, lambda q: q["item"] == p["item"])
+        return F.array_contains(mixed, p["item"]) & (2 * F.size(F.filter(own, lambda q: q["doc"] == p["doc"])) <= F.size(own))
+
+    return F.when(F.size(mixed) > 0, F.filter(pairs, loses)).otherwise(F.slice(pairs, 1, 0))
+
+
 def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(item_id, size, ipos, hash, islots, n_cover) of the benchmark's windows: of WINDOW tokens, or a shorter item whole.
     Windows with fewer than MIN_WORDS words (or no other token at all) are left out; n_cover counts the tokens of an item in the rest."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("text"))
     cuts = windows(items, "text", list(range(1, WINDOW + 1))).filter(F.col("size") == F.least(F.lit(WINDOW), "n_tokens"))
-    words = F.col("size") - F.size(_values(F.col("slots")))
+    words = F.col("size") - F.size(F.filter(_values(F.col("slots")), lambda v: v != ""))
     cuts = cuts.filter(words >= F.least(F.lit(MIN_WORDS), "size")).dropDuplicates(["item_id", "size", "pos", "hash", "slots"])
     covered = F.array_distinct(F.flatten(F.collect_list(F.sequence("pos", F.col("pos") + F.col("size") - 1))))
     cover = cuts.groupBy(F.col("item_id").alias("of")).agg(F.size(covered).alias("n_cover"))
@@ -108,16 +124,20 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     small = bench.count() <= BROADCAST_WINDOWS
     own = windows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "text", sizes)
     met = own.drop("n_tokens").join(F.broadcast(bench) if small else bench, ["size", "hash"])
-    pairs = F.arrays_zip(_values(F.col("islots")).alias("item"), _values(F.col("slots")).alias("doc"))
-    aligned = (met.select("doc_id", "item_id", "n_cover", "size", "ipos", (F.col("pos") - F.col("ipos")).alias("shift"), pairs.alias("pairs"))
-               .groupBy("doc_id", "item_id", "n_cover", "size", "shift")
-               .agg(F.collect_set("ipos").alias("ipos"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")))
-    consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["item"])))
-    tokens_of = F.array_distinct(F.flatten(F.transform("ipos", lambda p: F.sequence(p, p + F.col("size") - 1))))
+    item_values, values = _values(F.col("islots")), _values(F.col("slots"))
+    pairs = F.filter(F.transform(item_values, lambda v, k: F.struct((F.col("ipos") + k).alias("at"), v.alias("item"), F.get(values, k).alias("doc"))),
+                     lambda p: p["item"] != "")
+    aligned = (met.select("doc_id", "item_id", "n_cover", "size", (F.col("pos") - F.col("ipos")).alias("shift"), F.struct("ipos", pairs.alias("pairs")).alias("w"))
+               .groupBy("doc_id", "item_id", "n_cover", "size", "shift").agg(F.collect_set("w").alias("ws")))
+    all_pairs = aligned.withColumn("pairs", F.array_distinct(F.flatten(F.transform("ws", lambda w: w["pairs"]))))
+    judged = all_pairs.select("doc_id", "item_id", "n_cover", "size", "shift", "ws", _conflicting(F.col("pairs")).alias("bad"))
+    held = judged.withColumn("ws", F.filter("ws", lambda w: ~F.arrays_overlap(w["pairs"], F.col("bad")))).filter(F.size("ws") > 0)
+    ipos = F.transform("ws", lambda w: w["ipos"])
+    tokens_of = F.array_distinct(F.flatten(F.transform(ipos, lambda p: F.sequence(p, p + F.col("size") - 1))))
     covered = F.size(F.array_distinct(F.flatten(F.collect_list("covered"))))
-    found = (aligned.filter(consistent)
-             .select("doc_id", "item_id", "n_cover", (F.col("shift") + F.array_min("ipos")).alias("at"), tokens_of.alias("covered"),
-                     F.exists("pairs", lambda p: p["item"] != p["doc"]).alias("other"))
+    found = (held
+             .select("doc_id", "item_id", "n_cover", (F.col("shift") + F.array_min(ipos)).alias("at"), tokens_of.alias("covered"),
+                     F.exists("ws", lambda w: F.exists(w["pairs"], lambda p: p["item"] != p["doc"])).alias("other"))
              .groupBy("doc_id", "item_id", "n_cover")
              .agg(covered.alias("covered"), F.count("*").alias("n_alignments"), F.min("at").alias("first_token"),
                   F.max("other").alias("reparameterised")))

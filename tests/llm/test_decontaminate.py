@@ -58,3 +58,13 @@ def test_query_matches_brute_force(spark):
     want = {(i, k) for k, t in zip(items.item_id, items.text, strict=True) for i, x in texts if norm(t) in x}
     got = set(rows_of(op.op5_decontamination(spark, SF), "doc_id", "item_id"))
     assert want and got == want
+
+
+def test_one_edited_slot_or_a_value_of_two_roles_does_not_hide_an_item(spark):
+    item = ("A shop sells 12 pens at 3 dollars each and then 12 pads at 5 dollars each, while a second shop down the road sells "
+            "all of those 12 pencils together for a price that nobody in town would ever pay for them")
+    roles = "If someone buys 2 pens at 2 dollars each, how much money does this person pay for all of the pens"
+    docs = [(1, item.replace("12 pads", "40 pads")), (2, roles.replace("2 pens", "3 pens").replace("at 2", "at 5")), (3, roles.replace("2 pens", "3 pens", 1))]
+    got = found(spark, [item, roles], docs)
+    assert {(1, 0), (2, 1)} <= set(got) and not got[1, 0].reparameterised and got[2, 1].reparameterised
+    assert got[1, 0].coverage < 1
