@@ -2,7 +2,7 @@
 
 Texts become tokens: words, numbers, names (capitalised words within a sentence) and units (after a number). A template
 has a typed placeholder for each number, name and unit and the lower-cased word otherwise, so a question with other
-numbers or names has the same template. Windows of ``WINDOW`` template tokens are hashed, and the documents' windows are
+numbers or names has the same template; names are read as plain words too, so that a passage in another case has it as well. Windows of ``WINDOW`` template tokens are hashed, and the documents' windows are
 hash-joined to the benchmark's. Matches are gathered by document, item and alignment, and each value of the item is judged
 within its alignment. One that is replaced at every place may become several values (it plays several roles). One that is
 kept at some places and replaced at others stands for the value it has at most of them; windows with another one (all of
@@ -55,24 +55,40 @@ def _placeholder(token: Column) -> Column:
             .when((token >= "0") & (token < ":"), F.lit(_NUMBER)).otherwise(token))
 
 
+def _is_name(token: Column) -> Column:
+    return (token >= _NAME) & (token < _UNIT)
+
+
 def windows(rows: DataFrame, text_col: str, sizes: list[int]) -> DataFrame:
     """``rows`` without its text, with n_tokens, size, pos, hash and slots (the value at each token, empty where it is no slot) of every
-    template window of each of ``sizes``."""
+    template window of each of ``sizes``. A window with names comes under a second reading too, its names as plain words."""
     keep = [c for c in rows.columns if c != text_col]
     raw = rows.select(*keep, tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("raw"))
-    ready = raw.select(
-        *keep, F.size("raw").alias("n_tokens"),
-        F.transform("raw", lambda t: F.xxhash64(_placeholder(t))).alias("ids"),
-        F.when(F.exists("raw", _is_slot), F.transform("raw", lambda t: F.when(_is_slot(t), t))).alias("vals"))
+    named = F.exists("raw", _is_name)
+    plain = F.transform("raw", lambda t: F.when(_is_name(t), F.substring(t, 2, 1_000_000)).otherwise(t))
+    both = raw.select(*keep, "raw", F.size("raw").alias("n_tokens"), F.when(named, plain).alias("plain"),
+                      F.when(named, F.transform("raw", _is_name)).alias("names"))
+
+    def ids(tokens_col: str) -> Column:
+        return F.transform(tokens_col, lambda t: F.xxhash64(_placeholder(t)))
+
+    def vals(tokens_col: str) -> Column:
+        return F.when(F.exists(tokens_col, _is_slot), F.transform(tokens_col, lambda t: F.when(_is_slot(t), t)))
+
+    ready = both.select(*keep, "n_tokens", "names", ids("raw").alias("ids"), vals("raw").alias("vals"),
+                        ids("plain").alias("plain_ids"), vals("plain").alias("plain_vals"))
 
     def of_size(size: int) -> Column:
-        def cut(i: Column) -> Column:
+        def cut(i: Column, ids: str, vals: str) -> Column:
             return F.struct(F.lit(size).alias("size"), i.alias("pos"),
-                            F.xxhash64(*(F.get("ids", i + k) for k in range(size))).alias("hash"),
-                            F.array_join(F.slice("vals", i + 1, size), " ", "").alias("slots"))
-
-        every = F.transform(F.sequence(F.lit(0), F.col("n_tokens") - size), cut)
-        return F.when(F.col("n_tokens") >= size, every)
+                            F.xxhash64(*(F.get(ids, i + k) for k in range(size))).alias("hash"),
+                            F.array_join(F.slice(vals, i + 1, size), " ", "").alias("slots"))
+
+        starts = F.sequence(F.lit(0), F.col("n_tokens") - size)
+        every = F.transform(starts, lambda i: cut(i, "ids", "vals"))
+        with_names = F.filter(starts, lambda i: F.array_contains(F.slice("names", i + 1, size), True))
+        again = F.transform(with_names, lambda i: cut(i, "plain_ids", "plain_vals"))
+        return F.when(F.col("n_tokens") >= size, F.when(F.col("names").isNull(), every).otherwise(F.concat(every, again)))
 
     # Outer explodes: for an inner one the optimizer tests the array's size below, where it builds the windows once more.
     each = ready.select(*keep, "n_tokens", F.explode_outer(F.array(*map(of_size, sizes))).alias("cuts")) if len(sizes) > 1 else \

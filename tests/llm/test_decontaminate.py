@@ -68,3 +68,10 @@ def test_one_edited_slot_or_a_value_of_two_roles_does_not_hide_an_item(spark):
     got = found(spark, [item, roles], docs)
     assert {(1, 0), (2, 1)} <= set(got) and not got[1, 0].reparameterised and got[2, 1].reparameterised
     assert got[1, 0].coverage < 1
+
+
+def test_names_match_in_any_case(spark):
+    item = "On the way Anna met Peter Brown and then Maria saw Paul near the old house where Julia and Simon Miller once lived"
+    docs = [(1, "before " + item.lower() + " after"), (2, item.upper()), (3, item), (4, item.replace("Anna", "Berta").replace("Paul", "Carl")), (5, item.title())]
+    assert set(found(spark, [item], docs)) == {(k, 0) for k in range(1, 6)}
+    assert set(found(spark, [item.lower()], docs)) >= {(1, 0), (2, 0), (3, 0), (5, 0)}
