@@ -20,7 +20,7 @@ from dealerlens.session import materialize
 
 WINDOW = 5
 MIN_COVER = 0.8
-#: Words that a benchmark window needs beside its slots, so that rows of numbers do not match each other.
+#: Words that a benchmark window needs beside its slots, so that rows of numbers do not match each other; others match literally.
 MIN_WORDS = 2
 #: Benchmark windows are broadcast up to this many (about 100 bytes each), and joined by a shuffle beyond.
 BROADCAST_WINDOWS = 500_000
@@ -59,15 +59,21 @@ def _is_name(token: Column) -> Column:
     return (token >= _NAME) & (token < _UNIT)
 
 
+def _is_quantity(token: Column) -> Column:
+    return _is_slot(token) & ~_is_name(token)
+
+
 def windows(rows: DataFrame, text_col: str, sizes: list[int]) -> DataFrame:
     """``rows`` without its text, with n_tokens, size, pos, hash and slots (the value at each token, empty where it is no slot) of every
-    template window of each of ``sizes``. A window with names comes under a second reading too, its names as plain words."""
+    template window of each of ``sizes``. A window with names comes under a second reading too, its names as plain words,
+    and one of fewer than MIN_WORDS words besides numbers and units under a third, all its tokens literal."""
     keep = [c for c in rows.columns if c != text_col]
     raw = rows.select(*keep, tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("raw"))
     named = F.exists("raw", _is_name)
     plain = F.transform("raw", lambda t: F.when(_is_name(t), F.substring(t, 2, 1_000_000)).otherwise(t))
+    numbered = F.exists("raw", _is_quantity)
     both = raw.select(*keep, "raw", F.size("raw").alias("n_tokens"), F.when(named, plain).alias("plain"),
-                      F.when(named, F.transform("raw", _is_name)).alias("names"))
+                      F.when(named, F.transform("raw", _is_name)).alias("names"), F.when(numbered, F.transform("raw", _is_quantity)).alias("quantities"))
 
     def ids(tokens_col: str) -> Column:
         return F.transform(tokens_col, lambda t: F.xxhash64(_placeholder(t)))
@@ -75,7 +81,9 @@ def windows(rows: DataFrame, text_col: str, sizes: list[int]) -> DataFrame:
     def vals(tokens_col: str) -> Column:
         return F.when(F.exists(tokens_col, _is_slot), F.transform(tokens_col, lambda t: F.when(_is_slot(t), t)))
 
-    ready = both.select(*keep, "n_tokens", "names", ids("raw").alias("ids"), vals("raw").alias("vals"),
+    literal = F.transform("raw", lambda t: F.xxhash64(F.when((t >= _NUMBER) & (t < _AFTER), F.substring(t, 2, 1_000_000)).otherwise(t)))
+    ready = both.select(*keep, "n_tokens", "names", "quantities", F.when(F.col("quantities").isNotNull(), literal).alias("literal_ids"),
+                        F.lit(None).cast("array<string>").alias("no_vals"), ids("raw").alias("ids"), vals("raw").alias("vals"),
                         ids("plain").alias("plain_ids"), vals("plain").alias("plain_vals"))
 
     def of_size(size: int) -> Column:
@@ -88,7 +96,11 @@ def windows(rows: DataFrame, text_col: str, sizes: list[int]) -> DataFrame:
         every = F.transform(starts, lambda i: cut(i, "ids", "vals"))
         with_names = F.filter(starts, lambda i: F.array_contains(F.slice("names", i + 1, size), True))
         again = F.transform(with_names, lambda i: cut(i, "plain_ids", "plain_vals"))
-        return F.when(F.col("n_tokens") >= size, F.when(F.col("names").isNull(), every).otherwise(F.concat(every, again)))
+        few_words = F.filter(starts, lambda i: F.size(F.filter(F.slice("quantities", i + 1, size), lambda q: ~q)) < min(MIN_WORDS, size))
+        exact = F.transform(few_words, lambda i: cut(i, "literal_ids", "no_vals"))
+        more = (F.when(F.col("names").isNull() & F.col("quantities").isNull(), every).when(F.col("names").isNull(), F.concat(every, exact))
+                .when(F.col("quantities").isNull(), F.concat(every, again)).otherwise(F.concat(every, again, exact)))
+        return F.when(F.col("n_tokens") >= size, more)
 
     # Outer explodes: for an inner one the optimizer tests the array's size below, where it builds the windows once more.
     each = ready.select(*keep, "n_tokens", F.explode_outer(F.array(*map(of_size, sizes))).alias("cuts")) if len(sizes) > 1 else \
@@ -117,13 +129,13 @@ def _conflicting(pairs: Column) -> Column:
 
 def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(item_id, size, ipos, hash, islots, n_cover) of the benchmark's windows: of WINDOW tokens, or a shorter item whole.
-    Windows with fewer than MIN_WORDS words (or no other token at all) are left out; n_cover counts the tokens of an item in the rest."""
+    Typed windows with fewer than MIN_WORDS words (or no other token at all) are left out: such windows match by their plain or literal
+    reading only. n_cover is the number of all tokens of an item (of the longest, where items share an id)."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("text"))
     cuts = windows(items, "text", list(range(1, WINDOW + 1))).filter(F.col("size") == F.least(F.lit(WINDOW), "n_tokens"))
     words = F.col("size") - F.size(F.filter(_values(F.col("slots")), lambda v: v != ""))
     cuts = cuts.filter(words >= F.least(F.lit(MIN_WORDS), "size")).dropDuplicates(["item_id", "size", "pos", "hash", "slots"])
-    covered = F.array_distinct(F.flatten(F.collect_list(F.sequence("pos", F.col("pos") + F.col("size") - 1))))
-    cover = cuts.groupBy(F.col("item_id").alias("of")).agg(F.size(covered).alias("n_cover"))
+    cover = cuts.groupBy(F.col("item_id").alias("of")).agg(F.max("n_tokens").alias("n_cover"))
     return cuts.join(cover, F.col("item_id").eqNullSafe(F.col("of"))).select(
         "item_id", "size", F.col("pos").alias("ipos"), "hash", F.col("slots").alias("islots"), "n_cover")
 
@@ -132,7 +144,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     """doc_id, item_id, coverage, n_alignments, first_token and reparameterised (some slot has another value) of every
     contaminated document and item.
 
-    A null or empty text is clean; a null or empty item, or one of numbers and names alone, matches nothing; rows that share an id (or
+    A null or empty text is clean; a null or empty item matches nothing, one of numbers alone only its like; rows that share an id (or
     a null id) are one document, items likewise; with an empty table nothing is found; other columns are ignored.
     """
     bench = materialize(benchmark_windows(benchmark), "benchmark_windows")

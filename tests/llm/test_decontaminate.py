@@ -75,3 +75,10 @@ def test_names_match_in_any_case(spark):
     docs = [(1, "before " + item.lower() + " after"), (2, item.upper()), (3, item), (4, item.replace("Anna", "Berta").replace("Paul", "Carl")), (5, item.title())]
     assert set(found(spark, [item], docs)) == {(k, 0) for k in range(1, 6)}
     assert set(found(spark, [item.lower()], docs)) >= {(1, 0), (2, 0), (3, 0), (5, 0)}
+
+
+def test_items_of_many_numbers_count_whole_and_match_literally(spark):
+    items = ["12 15 18 21 24 27 30 33 what comes next", "1 2 3 4 5 6 7"]
+    docs = [(1, "we had 3 4 5 what comes next is open"), (2, "so " + items[0] + "?"), (3, "count 1 2 3 4 5 6 7 on"), (4, "7 6 5 4 3 2 1"), (5, "8 9 3 4 5 1 2")]
+    got = found(spark, items, docs)
+    assert set(got) == {(2, 0), (3, 1)} and got[2, 0].coverage == got[3, 1].coverage == 1
