@@ -8,8 +8,8 @@ tournament tree over the free room finds in logarithmic time. Then the emptiest
 sequences of the group are cut up to fill gaps of more than ``MIN_GAP`` ids, so that
 copies of an awkward length (2100 of 4096, say) leave no padding either.
 
-Memory of a task: one group, about GROUP_ROWS x capacity ids at most. The group of
-a remainder is a hash of its row, not of its id or text, so copies spread evenly.
+Memory of a task: one group, about GROUP_ROWS x capacity ids at most, whatever the documents' length; full blocks
+stream past it. The group of a remainder is a hash of its row, not of its id or text, so copies spread evenly.
 """
 
 from __future__ import annotations
@@ -17,20 +17,26 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from dealerlens.llm.common import keyed_text, table
+from dealerlens.llm.common import keyed_text, partitions, table
 from dealerlens.llm.tokens import word_tokenizer
 
 CAPACITY = 4096
 END_ID = 2
 GROUP_ROWS = 4096
 MIN_GAP = 32
+#: A worker tokenises, and hands on, so many rows and bytes of text at once.
+PART_ROWS = 1000
+PART_BYTES = 8 << 20
+#: Full blocks are dealt over so many slots.
+FULL_SLOTS = 1 << 20
 
 _BLOCKS = StructType([StructField(c, LongType()) for c in ("row", "id", "start", "length", "doc_tokens")]
                      + [StructField("ids", BinaryType())])
@@ -93,6 +99,19 @@ def fill_gaps(bins: list[list[tuple[int, int, int]]], capacity: int, min_gap: in
     return [b for b in bins if b]
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of up to PART_ROWS rows that hold PART_BYTES of text, or a single longer one."""
+    sizes = pc.binary_length(batch.column("text")).to_pylist()
+    at, held = 0, 0
+    for k, size in enumerate(sizes):
+        if k > at and (held + size > PART_BYTES or k - at == PART_ROWS):
+            yield batch.slice(at, k - at)
+            at, held = k, 0
+        held += size
+    if at < len(sizes):
+        yield batch.slice(at)
+
+
 def _blocks(path: str, capacity: int, end_id: int):
     end = np.array([end_id], dtype="<u4").tobytes()
     schema = to_arrow_schema(_BLOCKS)
@@ -100,8 +119,7 @@ def _blocks(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = word_tokenizer(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in _parts(batch):
                 out: list[list] = [[] for _ in _BLOCKS]
                 ids_of = tok.encode(part.column("text").to_pylist())
                 for row, id_, ids in zip(part.column("row").to_pylist(), part.column("id").to_pylist(), ids_of, strict=True):
@@ -116,25 +134,49 @@ def _blocks(path: str, capacity: int, end_id: int):
     return run
 
 
-def _pack_group(capacity: int, min_gap: int):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["row", "start"], ignore_index=True)
-        lengths = rows["length"].tolist()
-        full = [k for k, n in enumerate(lengths) if n == capacity]
-        rest = [k for k, n in enumerate(lengths) if n < capacity]
-        packed = first_fit_decreasing([lengths[k] for k in rest], capacity)
-        bins = fill_gaps([[(rest[k], 0, lengths[rest[k]]) for k in b] for b in packed], capacity, min_gap)
-        bins += [[(k, 0, capacity)] for k in full]
-        out, first = [], key[0] << 32
-        ids, docs, starts, totals = (rows[c].tolist() for c in ("ids", "id", "start", "doc_tokens"))
-        for b, pieces in enumerate(bins):
-            offset = 0
-            for item, at, n in pieces:
-                out.append((docs[item], starts[item] + at, n, totals[item], first + b, offset, ids[item][4 * at:4 * (at + n)]))
-                offset += n
-        res = pd.DataFrame(out, columns=_PIECES.names)
-        res["doc_id"] = res["doc_id"].astype("Int64")
-        return res
+def _pack_group(group: int, rows: pa.Table, capacity: int, min_gap: int) -> Iterator[pa.RecordBatch]:
+    """The pieces of one group of remainders."""
+    ids, docs, starts, totals, lengths = (rows[c].to_pylist() for c in ("ids", "id", "start", "doc_tokens", "length"))
+    packed = first_fit_decreasing(lengths, capacity)
+    bins = fill_gaps([[(k, 0, lengths[k]) for k in b] for b in packed], capacity, min_gap)
+    out, schema = [], to_arrow_schema(_PIECES)
+    for b, pieces in enumerate(bins):
+        offset = 0
+        for item, at, n in pieces:
+            out.append((docs[item], starts[item] + at, n, totals[item], (group << 32) + b, offset, ids[item][4 * at:4 * (at + n)]))
+            offset += n
+        if len(out) >= PART_ROWS or b + 1 == len(bins):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+            out = []
+
+
+def _pack(capacity: int, min_gap: int, groups: int):
+    schema = to_arrow_schema(_PIECES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by slot: full blocks (below 0) pass one by one, remainders wait for the rest of their group."""
+        full = (groups + TaskContext.get().partitionId()) << 32
+        group, held = -1, []
+        for batch in batches:
+            slot = batch.column("slot").to_numpy()
+            n = int(np.searchsorted(slot, 0))
+            if n:
+                b = batch.slice(0, n)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("id"), b.column("start"), b.column("length"), b.column("doc_tokens"), pa.array(np.arange(full, full + n)),
+                     pa.array(np.zeros(n, dtype=np.int64)), b.column("ids")], schema=schema)
+                full += n
+            edges = [n, *(np.flatnonzero(np.diff(slot[n:])) + n + 1).tolist(), len(slot)]
+            for a, z in zip(edges, edges[1:], strict=False):
+                if a == z:
+                    continue
+                if slot[a] != group and held:
+                    yield from _pack_group(group, pa.Table.from_batches(held), capacity, min_gap)
+                    held = []
+                group = int(slot[a])
+                held.append(batch.slice(a, z - a))
+        if held:
+            yield from _pack_group(group, pa.Table.from_batches(held), capacity, min_gap)
 
     return run
 
@@ -150,8 +192,12 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     groups = max(1, -(-docs.count() // group_rows))
     rows = keyed_text(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
     blocks = rows.select("row", "id", "text").mapInArrow(_blocks(tokenizer_path, capacity, end_id), _BLOCKS)
-    dealt = blocks.withColumn("group", F.pmod(F.xxhash64("row", "start"), F.lit(groups)))
-    return dealt.groupBy("group").applyInPandas(_pack_group(capacity, min_gap), _PIECES)
+    # A document has one remainder at most, so that a group holds about group_rows blocks; full blocks go anywhere.
+    rest = F.pmod(F.xxhash64("row", "start"), F.lit(groups))
+    spread = -1 - F.pmod(F.xxhash64("row", "start"), F.lit(FULL_SLOTS))
+    dealt = blocks.withColumn("slot", F.when(F.col("length") < capacity, rest).otherwise(spread))
+    sorted_ = dealt.repartition(partitions(docs.sparkSession), "slot").sortWithinPartitions("slot", "row", "start")
+    return sorted_.mapInArrow(_pack(capacity, min_gap, groups), _PIECES)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

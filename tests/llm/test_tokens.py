@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -138,3 +139,20 @@ def test_orc_query(spark):
     d = documents()
     got = sorted(map(tuple, token_orc.op9_token_orc(spark, SF).collect()))
     assert got == offsets(list(zip(d.doc_id.tolist(), d.text, strict=True)))
+
+
+def test_full_blocks_stay_out_of_the_groups(spark, monkeypatch):
+    sizes, whole = [], packing.first_fit_decreasing
+    rows = [{"row": k, "id": k, "start": s, "length": n, "doc_tokens": 4096 * 50 + 10, "ids": b"\1\0\0\0" * n, "slot": slot}
+            for k in range(3) for s, n, slot in [*((4096 * j, 4096, -1 - j) for j in range(50)), (4096 * 50, 10, 0)]]
+    rows.sort(key=lambda r: (r["slot"], r["row"]))
+    monkeypatch.setattr(packing, "first_fit_decreasing", lambda lengths, capacity: sizes.append(len(lengths)) or whole(lengths, capacity))
+    monkeypatch.setattr(packing, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda self: 5})())}))
+    out = pa.Table.from_batches(packing._pack(4096, 32, 1)(pa.Table.from_pylist(rows).to_batches(max_chunksize=40)))
+    monkeypatch.undo()
+    assert sizes == [3] and out.num_rows == 153 and len(set(out["sequence_id"].to_pylist())) == 151
+    got = packing.packed_pieces(edge_docs(spark, [(k, "word " * 30_000) for k in range(6)])).toPandas()
+    assert (got.groupby("doc_id").length.sum() == got.groupby("doc_id").doc_tokens.first()).all()
+    whole_blocks = got[got.length == 4096]
+    assert len(whole_blocks) >= 6 and not whole_blocks.sequence_id.duplicated().any()
+    assert (got.groupby("sequence_id").length.sum() <= 4096).all()
