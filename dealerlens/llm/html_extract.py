@@ -30,10 +30,15 @@ _WORD = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{2,}")
 
 # Element kinds of HTML.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_SKIPPED = frozenset("script style noscript template title iframe svg math object textarea select option button canvas audio video head".split())
-_RAW = frozenset("script style title textarea iframe noscript template".split())
+_SKIPPED = frozenset("script style noscript template title iframe svg object textarea select option button canvas audio video annotation annotation-xml".split())
+_RAW = frozenset("script style title textarea iframe noscript".split())
+#: Tags that make no node: the document's frame, and what may stand in its head besides skipped elements.
+_FRAME = frozenset("html head body meta link base".split())
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in _RAW}
 _INLINE = frozenset(("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong "
-                     "sub sup time tt u var wbr img br picture").split())
+                     "sub sup time tt u var wbr img br picture "
+                     "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle "
+                     "msub msubsup msup mtable mtd mtext mtr munder munderover none semantics").split())
 _CLOSES_P = frozenset(("address article aside blockquote center details dialog dd dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
                        "hgroup hr li main menu nav ol p pre search section summary table ul").split())
 _SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
@@ -92,7 +97,9 @@ def parse(page: str) -> Tree:
             if tree.tag[stack[k]] in stops:
                 return
 
-    for m in _TOKEN.finditer(page):
+    pos = 0
+    while m := _TOKEN.match(page, pos):
+        pos = m.end()
         name = m[2]
         if name is None:
             piece = m[0]
@@ -103,9 +110,16 @@ def parse(page: str) -> Tree:
                     state["linked"] += len(piece.strip())
             continue
         name = name.lower()
+        if name in _RAW:  # nothing counts in it but its own end tag
+            if not m[1] and not m[3].endswith("/"):
+                end = _RAW_END[name].search(page, pos)
+                pos = end.end() if end else len(page)
+            continue
+        if skip == "option" and m[1] and any(tree.tag[k] == name for k in stack[1:]):
+            skip = None  # its end tag is let out, and the parent ends
         if skip is not None:
             if name == skip:
-                depth += -1 if m[1] else 0 if name in _RAW or m[3].endswith("/") else 1
+                depth += -1 if m[1] else 0 if name == "option" or m[3].endswith("/") else 1
                 if depth == 0:
                     skip = None
             continue
@@ -129,7 +143,7 @@ def parse(page: str) -> Tree:
         if name in _SIBLINGS:
             own = _SIBLINGS[name]
             close(own[:1] if name == "tr" else own, _SCOPES)
-        if name in ("html", "body"):
+        if name in _FRAME:
             continue
         node = tree.add(stack[-1], name, _attr_words(m[3]) if m[3] else ())
         if name not in _VOID and not m[3].endswith("/"):

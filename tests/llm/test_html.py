@@ -67,3 +67,15 @@ def test_query_matches_the_articles(spark):
     pages = pd.read_parquet(f"{SF}/pages.parquet")
     got = {r.page_id: (r.url, r.text, r.n_chars) for r in op.op4_html(spark, SF).collect()}
     assert got == {i: (u, article(h), len(article(h))) for i, u, h in zip(pages.page_id, pages.url, pages.html, strict=True)}
+
+
+def test_end_tags_let_out_and_raw_text():
+    def texts(page):
+        return [t for t in op.parse(page).text if t]
+
+    assert texts("<html><head><meta charset=utf-8><title>T</title><link rel=x><style>p {}</style><body><p>one<p>two") == ["one", "two"]
+    assert texts("<head><title>T</title><article><p>one</article>") == ["one"]
+    assert texts("<p>a</p><datalist><option>x<option value=y>z</datalist><p>b</p>") == ["a", "b"]
+    assert texts("<p>a</p><script>var s = '<!-- <p>no';</script><p>b</p>") == ["a", "b"]
+    assert texts("<svg><script>'</svg>'</script><text>no</text></svg><p>b</p>") == ["b"]
+    assert texts("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds</p>") == ["so x=2 holds"]
