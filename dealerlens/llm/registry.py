@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
-from dealerlens.llm import decontaminate, html_extract, licenses, line_dedup, merkle, packing, simhash, token_files, token_orc, toxicity
+from dealerlens.llm import (
+    decontaminate,
+    html_extract,
+    licenses,
+    line_dedup,
+    merkle,
+    packing,
+    simhash,
+    token_alignment,
+    token_files,
+    token_orc,
+    toxicity,
+)
 from dealerlens.llm.common import shipped
 
 
@@ -18,6 +30,7 @@ def queries():
         "op8_token_counts": token_files.op8_token_counts,
         "op9_token_orc": token_orc.op9_token_orc,
         "op10_license_scan": licenses.op10_license_scan,
+        "op11_token_alignment": token_alignment.op11_token_alignment,
     }
     return {name: shipped(query) for name, query in own.items()}
 
