@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dealerlens.llm import (
+    conversation_repair,
     decontaminate,
     html_extract,
     licenses,
@@ -30,6 +31,7 @@ def queries():
         "op8_token_counts": token_files.op8_token_counts,
         "op9_token_orc": token_orc.op9_token_orc,
         "op10_license_scan": licenses.op10_license_scan,
+        "op12_conversation_repair": conversation_repair.op12_conversation_repair,
         "op11_token_alignment": token_alignment.op11_token_alignment,
     }
     return {name: shipped(query) for name, query in own.items()}
