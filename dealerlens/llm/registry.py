@@ -11,6 +11,7 @@ from dealerlens.llm import (
     merkle,
     packing,
     simhash,
+    substring_dedup,
     token_alignment,
     token_files,
     token_orc,
@@ -33,6 +34,7 @@ def queries():
         "op10_license_scan": licenses.op10_license_scan,
         "op12_conversation_repair": conversation_repair.op12_conversation_repair,
         "op11_token_alignment": token_alignment.op11_token_alignment,
+        "op13_substring_dedup": substring_dedup.op13_substring_dedup,
     }
     return {name: shipped(query) for name, query in own.items()}
 
