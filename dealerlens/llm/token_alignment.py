@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,33 +32,29 @@ from dealerlens.session import materialize
 KNOWN = 1 << 20
 #: A worker aligns so many rows and bytes of text at once.
 PART_ROWS = 2000
-PART_BYTES = 2 << 20
+PART_BYTES = 1 << 20
 #: A search goes so many steps with all others; what is left is searched on its own.
 STEPS = 32
 #: Links of a group that are listed one by one; larger groups are counted by distinct ids.
 GROUP_LINKS = 1 << 18
 
 
-@dataclass(frozen=True)
 class Tokenizer:
-    """A tokenizer whose tokens' bytes make up the text: ids of a text, and the bytes of each id."""
+    """A tokenizer whose tokens' bytes make up the text: ids of a text, and the bytes of each id.
 
-    encode: Callable[[str], list[int]]
-    token_bytes: list[bytes]
-
-    @functools.cached_property
-    def lengths(self) -> np.ndarray:
-        return np.array([len(b) for b in self.token_bytes], dtype=np.int64)
+    ``lossless`` says that the bytes of a text's ids always are a space and the text.
+    """
 
-    @functools.cached_property
-    def spelled(self) -> list[bytes]:
-        """Each id as decimal digits before a comma, a bar and a semicolon."""
-        return [b"%d%c" % (i, c) for i in range(len(self.token_bytes)) for c in b",|;"]
+    def __init__(self, encode: Callable[[str], Sequence[int]], token_bytes: list[bytes], lossless: bool = False):
+        self.encode, self.token_bytes, self.lossless = encode, token_bytes, lossless
+        self.lengths = np.array([len(b) for b in token_bytes], dtype=np.int64)
 
-    def whole(self, text: str, raw: bytes) -> np.ndarray | None:
-        """The ids of ``text``, or None if their bytes are not ``raw``."""
+    def whole(self, text: str) -> np.ndarray | None:
+        """The ids of ``text``, or None if their bytes are not a space and the text."""
         ids = self.encode(text)
-        return np.array(ids, dtype=np.int64) if b"".join(map(self.token_bytes.__getitem__, ids)) == raw else None
+        if self.lossless or b"".join(map(self.token_bytes.__getitem__, ids)) == b" " + text.encode():
+            return np.array(ids, dtype=np.int64)
+        return None
 
 
 @functools.lru_cache(maxsize=2)
@@ -75,7 +71,8 @@ def byte_level(path: str) -> Tokenizer:
     table = [b""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         table[rank] = token
-    return Tokenizer(lambda text: coder.encode_ordinary(" " + text), table)
+    ids = functools.partial(coder.encode_to_numpy, disallowed_special=())
+    return Tokenizer(lambda text: ids(" " + text), table, lossless=all(bytes([b]) in ranks for b in range(256)))
 
 
 @functools.lru_cache(maxsize=2)
@@ -151,8 +148,8 @@ def split_at_cuts(a: np.ndarray, b: np.ndarray, a_count: np.ndarray, b_count: np
         done_a.append(hi_a[~cut])
         done_b.append(hi_b[~cut])
         i, j = i[cut] + 1, j[cut] + 1
-        lo_a, hi_a = np.concatenate([lo_a[cut], i]), np.concatenate([i, hi_a[cut]])
-        lo_b, hi_b = np.concatenate([lo_b[cut], j]), np.concatenate([j, hi_b[cut]])
+        lo_a, hi_a, lo_b, hi_b = (np.stack(x, 1).ravel() for x in (  # both halves in place, so that searches stay in order
+            (lo_a[cut], i), (i, hi_a[cut]), (lo_b[cut], j), (j, hi_b[cut])))
     return np.sort(np.concatenate(done_a or [hi_a])), np.sort(np.concatenate(done_b or [hi_b]))
 
 
@@ -179,9 +176,8 @@ def align_texts(texts: list[str | None], left: Tokenizer, right: Tokenizer) -> A
     for row, text in enumerate(texts):
         if not text:
             continue
-        raw = b" " + text.encode()
-        a = left.whole(text, raw)
-        b = right.whole(text, raw) if a is not None else None
+        a = left.whole(text)
+        b = right.whole(text) if a is not None else None
         if b is not None:
             rows.append(row)
             a_ids.append(a)
@@ -241,57 +237,61 @@ def align(docs: DataFrame, left: Callable[[], Tokenizer], right: Callable[[], To
         _align(left, right), "doc_id long, a_ids array<int>, b_ids array<int>, a_ends array<int>, b_ends array<int>")
 
 
+@functools.lru_cache(maxsize=2)
+def _spelled(n_left: int, n_right: int) -> list[bytes]:
+    """Each id of both vocabularies as decimal digits before a comma, a bar (left) or a semicolon (right)."""
+    return [b"%d%c" % (i, c) for n, marks in ((n_left, b",|"), (n_right, b",;")) for i in range(n) for c in marks]
+
+
 def _spell(got: Aligned, left: Tokenizer, right: Tokenizer) -> list[str]:
     """SHA-256 of each text's groups, written out."""
     a_size, b_size = np.diff(got.a_ends, prepend=0), np.diff(got.b_ends, prepend=0)
     group_a, group_b = np.repeat(np.arange(len(a_size)), a_size), np.repeat(np.arange(len(b_size)), b_size)
-    ends_a, ends_b = np.zeros(len(group_a), np.int64), np.zeros(len(group_b), np.int64)
-    ends_a[got.a_ends - 1], ends_b[got.b_ends - 1] = 1, 2
-    spelled = np.empty(len(group_a) + len(group_b), dtype=object)
-    at_a = np.arange(len(group_a)) + (got.b_ends - b_size)[group_a]
-    at_b = np.arange(len(group_b)) + got.a_ends[group_b]
-    spelled[at_a] = list(map(left.spelled.__getitem__, (got.a_ids * 3 + ends_a).tolist()))
-    spelled[at_b] = list(map(right.spelled.__getitem__, (got.b_ids * 3 + ends_b).tolist()))
+    a, b = got.a_ids * 2, (got.b_ids + len(left.token_bytes)) * 2
+    a[got.a_ends - 1] += 1
+    b[got.b_ends - 1] += 1
+    order = np.empty(len(a) + len(b), dtype=np.int64)
+    order[np.arange(len(a)) + (got.b_ends - b_size)[group_a]] = a
+    order[np.arange(len(b)) + got.a_ends[group_b]] = b
+    spell = _spelled(len(left.token_bytes), len(right.token_bytes)).__getitem__
     out, lo = [], 0
     for hi in np.cumsum(got.a_count + got.b_count).tolist():
-        out.append(hashlib.sha256(b"".join(spelled[lo:hi].tolist())[:-1]).hexdigest())
+        out.append(hashlib.sha256(b"".join(map(spell, order[lo:hi].tolist()))[:-1]).hexdigest())
         lo = hi
     return out
 
 
-def _linked_pairs(got: Aligned, n_right: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _linked_pairs(got: Aligned, n_left: int, n_right: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, pair, times) of each id pair that a text links, in order; a pair is left id x ``n_right`` + right id."""
     a_size, b_size = np.diff(got.a_ends, prepend=0), np.diff(got.b_ends, prepend=0)
     text = np.repeat(np.arange(len(got.rows)), np.diff(got.groups, prepend=0))
     links = a_size * b_size
-    texts, pairs, times = [], [], []
-    small = np.flatnonzero(links <= GROUP_LINKS)
-    at, total = 0, np.cumsum(links[small])
+    small, at = np.flatnonzero(links <= GROUP_LINKS), 0
+    total, held = np.cumsum(links[small]), []  # (text and pair as one number, times)
+    span = n_left * n_right
     while at < len(small):  # some groups at a time: no more than a few GROUP_LINKS links are listed at once
         end = int(np.searchsorted(total, (total[at - 1] if at else 0) + 4 * GROUP_LINKS, "right"))
         some = small[at:max(end, at + 1)]
         n = links[some]
-        group = np.repeat(some, n)
-        within = np.arange(len(group)) - np.repeat(np.cumsum(n) - n, n)
-        i = (got.a_ends - a_size)[group] + within // b_size[group]
-        j = (got.b_ends - b_size)[group] + within % b_size[group]
-        texts.append(text[group])
-        pairs.append(got.a_ids[i] * n_right + got.b_ids[j])
-        times.append(np.ones(len(group), np.int64))
+        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        of_b = np.repeat(b_size[some], n)
+        i = np.repeat((got.a_ends - a_size)[some], n) + within // of_b
+        j = np.repeat((got.b_ends - b_size)[some], n) + within % of_b
+        held.append(np.unique(np.repeat(text[some] * span, n) + got.a_ids[i] * n_right + got.b_ids[j], return_counts=True))
         at += len(some)
     for g in np.flatnonzero(links > GROUP_LINKS).tolist():
         a, na = np.unique(got.a_ids[got.a_ends[g] - a_size[g]:got.a_ends[g]], return_counts=True)
         b, nb = np.unique(got.b_ids[got.b_ends[g] - b_size[g]:got.b_ends[g]], return_counts=True)
-        texts.append(np.full(len(a) * len(b), text[g]))
-        pairs.append((a[:, None] * n_right + b).ravel())
-        times.append((na[:, None] * nb).ravel())
-    if not texts:
+        held.append((text[g] * span + (a[:, None] * n_right + b).ravel(), (na[:, None] * nb).ravel()))
+    if not held:
         return (np.zeros(0, np.int64),) * 3
-    text, pair, count = map(np.concatenate, (texts, pairs, times))
-    order = np.lexsort((pair, text))
-    text, pair, count = text[order], pair[order], count[order]
-    first = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (pair[1:] != pair[:-1])]) if len(text) else order
-    return text[first], pair[first], np.add.reduceat(count, first) if len(first) else count
+    key, times = map(np.concatenate, zip(*held, strict=True))
+    if len(held) > 1:
+        order = np.argsort(key, kind="stable")
+        key, times = key[order], times[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        key, times = key[first], np.add.reduceat(times, first)
+    return key // span, key % span, times
 
 
 _LINKED = ("doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, "
@@ -302,7 +302,7 @@ def _links(left: Callable[[], Tokenizer], right: Callable[[], Tokenizer]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _parts(batches):
             got, n = align_texts(texts, left(), right()), len(texts)
-            text, pair, times = _linked_pairs(got, len(right().token_bytes))
+            text, pair, times = _linked_pairs(got, len(left().token_bytes), len(right().token_bytes))
             links = np.add.reduceat(times, np.searchsorted(text, np.arange(len(got.rows)))) if len(got.rows) else times
             columns = []
             for values in (got.a_count, got.b_count, np.diff(got.groups, prepend=0), links):

@@ -120,6 +120,6 @@ def test_splitting_finds_every_shared_end(share, monkeypatch):
 def test_large_groups_are_counted_by_distinct_ids(monkeypatch):
     one = np.array([1], dtype=np.int64)
     got = op.Aligned(one * 0, np.array([5, 5, 6]), np.array([7, 8, 8, 8]), one * 3, one * 4, one * 3, one * 4)
-    want = [x.tolist() for x in op._linked_pairs(got, 10)]
+    want = [x.tolist() for x in op._linked_pairs(got, 10, 10)]
     monkeypatch.setattr(op, "GROUP_LINKS", 1)
-    assert [x.tolist() for x in op._linked_pairs(got, 10)] == want == [[0] * 4, [57, 58, 67, 68], [2, 6, 1, 3]]
+    assert [x.tolist() for x in op._linked_pairs(got, 10, 10)] == want == [[0] * 4, [57, 58, 67, 68], [2, 6, 1, 3]]
