@@ -100,3 +100,12 @@ def feature_matrix(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """``keep`` columns, then the numeric features as doubles and the one-hot blocks as vectors, in training order."""
     return df.select(*keep, *[F.col(n).cast("double").alias(n) for n in NUMERIC_FEATURES],
                      *[f"{prefix}_one_hot" for _, prefix in ONE_HOT_BLOCKS])
+
+
+#: The category codes of a row, one for each one-hot block.
+CATEGORY_CODES = tuple(f"{prefix}_index" for _, prefix in ONE_HOT_BLOCKS)
+
+
+def tree_inputs(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """F11 as trees read it: ``keep`` columns, the numeric features as doubles, and each block as one code in place of its columns."""
+    return df.select(*keep, *[F.col(n).cast("double").alias(n) for n in (*NUMERIC_FEATURES, *CATEGORY_CODES)])

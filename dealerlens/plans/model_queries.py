@@ -10,6 +10,7 @@ from dealerlens.operators import features as fe
 from dealerlens.plans import training as tr
 from dealerlens.plans.listing_queries import canon
 
+
 def _features(spark, sf_dir):
     c = tr.written(canon(spark, sf_dir))
     prep = tr.fit_preprocessors(c)
@@ -63,7 +64,12 @@ def _held_out(spark, sf_dir):
 
 
 def q_train_and_score(spark, sf_dir):
-    """M2, M7: hold-out rows with whether the ensemble's prediction is a number (its value has no SQL counterpart)."""
+    """M2, M7: the hold-out rows with their predictions."""
+    return _held_out(spark, sf_dir).select("listing_id", "price", "prediction")
+
+
+def q_held_out_rows(spark, sf_dir):
+    """M1, M7: which rows are held out and scored."""
     return _held_out(spark, sf_dir).select("listing_id", "price", (~F.isnan("prediction")).alias("predicted"))
 
 
@@ -72,7 +78,7 @@ def q_model_metrics(spark, sf_dir):
 
 
 def q_validation_curve(spark, sf_dir):
-    return tr.validation_curve(*_trained(spark, sf_dir))
+    return tr.validation_curve(_trained(spark, sf_dir)[0], spark)
 
 
 def q_regression_metrics(spark, sf_dir):
@@ -82,9 +88,13 @@ def q_regression_metrics(spark, sf_dir):
 
 
 def q_spot_check(spark, sf_dir):
-    """M6: the rows picked, with the prediction's presence in place of its value."""
-    rows = tr.spot_check(_held_out(spark, sf_dir))
-    return rows.select("listing_id", "actual", (~F.isnan("prediction")).alias("predicted"))
+    """M6: the rows picked, with their predictions."""
+    return tr.spot_check(_held_out(spark, sf_dir))
+
+
+def q_spot_check_rows(spark, sf_dir):
+    """M6: which rows are picked."""
+    return tr.spot_check(_held_out(spark, sf_dir)).select("listing_id", "actual", (~F.isnan("prediction")).alias("predicted"))
 
 
 QUERIES = {name[2:]: fn for name, fn in dict(globals()).items() if name.startswith("q_") and callable(fn)}

@@ -440,7 +440,7 @@ SELECT request_id, client_ip, requested_at, body_kind,
   CASE WHEN body_kind = 'object' THEN {_pick(year_keys, _q)} END AS year_key, yr::VARCHAR AS year_json,
   CASE WHEN body_kind = 'object' THEN {_pick(('manufacturer', 'brand'), _q)} END AS manufacturer_key,
   CASE WHEN body_kind = 'object' THEN {_pick(('fuel', 'fuel_type'), _q)} END AS fuel_key FROM rp""",
-        "score_requests": parsed + """
+        "score_outcomes": parsed + """
 SELECT request_id, CASE WHEN error IS NULL THEN 'success' ELSE 'error' END AS status, error,
   CASE WHEN error IS NULL THEN 200 WHEN error LIKE 'An unexpected%' THEN 500 ELSE 400 END AS code,
   CASE WHEN error IS NULL THEN true END AS within_bounds FROM rc""",
@@ -506,8 +506,8 @@ act AS (SELECT *, 'fuel_' || fuel || ',trans_' || transmission || ',drive_' || d
         "encoded_listings": feats + "SELECT listing_id, manufacturer_encoded, model_encoded FROM feat",
         "type_bucketed": feats + "SELECT listing_id, type, type_clean FROM feat",
         "split_counts": base + f"SELECT {SPLIT} AS split, count(*) AS n FROM kept GROUP BY 1",
-        "train_and_score": base + f"SELECT listing_id, price, true AS predicted FROM kept WHERE {SPLIT} = 'test'",
-        "spot_check": base + f"""SELECT listing_id, price AS actual, true AS predicted FROM kept WHERE {SPLIT} = 'test'
+        "held_out_rows": base + f"SELECT listing_id, price, true AS predicted FROM kept WHERE {SPLIT} = 'test'",
+        "spot_check_rows": base + f"""SELECT listing_id, price AS actual, true AS predicted FROM kept WHERE {SPLIT} = 'test'
 ORDER BY md5('1:' || listing_id::VARCHAR), listing_id LIMIT 10""",
         "one_hot": feats + "SELECT listing_id, one_hot_active, CAST(4 AS BIGINT) AS one_hot_sum FROM act",
         "feature_matrix": feats + f"""

@@ -11,16 +11,16 @@ import json
 import os
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dealerlens.operators import boosting
 from dealerlens.operators import catalogue as cat
 from dealerlens.operators import encoders as enc
 from dealerlens.operators import features as fe
-from dealerlens.session import materialize, shared_dir
+from dealerlens.operators.boosting import BoostedTrees, BoostParams
+from dealerlens.session import materialize
 
 TEST_FRACTION = 0.15
 SPLIT_SEED = 42
@@ -79,44 +79,14 @@ def split_column(key: str = "listing_id", test_fraction: float = TEST_FRACTION,
     return F.when(bucket < int(round(test_fraction * 10000)), F.lit("test")).otherwise(F.lit("train"))
 
 
-@dataclass
-class GBTParams:
-    """M2: tree ensemble settings (L1/L2 leaf penalties have no MLlib counterpart)."""
-    n_trees: int = 500
-    max_depth: int = 8
-    step_size: float = 0.05
-    subsampling_rate: float = 0.8
-    feature_subset: str = "0.8"
-    min_instances_per_node: int = 5
-    max_bins: int = 256
-    seed: int = SPLIT_SEED
-    # how it is computed: larger node groups (fewer passes a level), lineage cut
-    max_memory_mb: int = 1024
-    cache_node_ids: bool = False
-    checkpoint_interval: int = 10
-
-
-def build_pipeline(params: GBTParams = GBTParams()) -> Pipeline:
-    assembler = VectorAssembler(inputCols=list(fe.MATRIX_INPUTS), outputCol="features", handleInvalid="keep")
-    gbt = GBTRegressor(
-        featuresCol="features", labelCol="price", predictionCol="prediction",
-        maxIter=params.n_trees, maxDepth=params.max_depth, stepSize=params.step_size,
-        subsamplingRate=params.subsampling_rate, featureSubsetStrategy=params.feature_subset,
-        minInstancesPerNode=params.min_instances_per_node, maxBins=params.max_bins, seed=params.seed,
-        maxMemoryInMB=params.max_memory_mb, cacheNodeIds=params.cache_node_ids,
-        checkpointInterval=params.checkpoint_interval,
-    )
-    return Pipeline(stages=[assembler, gbt])
-
-
 @dataclass
 class TrainedModel:
     prep: Preprocessors
-    model: PipelineModel
-    params: GBTParams
+    model: BoostedTrees
+    params: BoostParams
 
 
-def train(canon: DataFrame, params: GBTParams = GBTParams(), key: str = "listing_id",
+def train(canon: DataFrame, params: BoostParams = BoostParams(), key: str = "listing_id",
           fit_on: str = "all") -> tuple[TrainedModel, DataFrame]:
     """Fit preprocessors and the regressor; returns the model and the materialised feature table with a ``split`` column.
 
@@ -127,18 +97,16 @@ def train(canon: DataFrame, params: GBTParams = GBTParams(), key: str = "listing
         raise ValueError("fit_on is 'all' or 'train'")
     canon = written(canon.withColumn("split", split_column(key)))
     prep = fit_preprocessors(canon if fit_on == "all" else canon.where(F.col("split") == "train"))
-    feats = materialize(fe.feature_matrix(transform(canon, prep), keep=(key, "price", "split")), "features")
-    canon.sparkSession.sparkContext.setCheckpointDir(shared_dir(canon.sparkSession))
-    model = build_pipeline(params).fit(feats.where(F.col("split") == "train"))
+    feats = materialize(fe.tree_inputs(transform(canon, prep), keep=(key, "price", "split")), "features")
+    values = fe.vocabulary(prep.one_hot)
+    categories = {f"{prefix}_index": len(values[prefix]) for _, prefix in fe.ONE_HOT_BLOCKS}
+    model = boosting.fit(feats, list(fe.NUMERIC_FEATURES), categories, key=key, params=params)
     return TrainedModel(prep, model, params), feats
 
 
-def validation_curve(trained: TrainedModel, feats: DataFrame, every: int = 50) -> DataFrame:
-    """M3: (n_trees, rmse) of the ensemble's first n trees on the hold-out rows, each ``every`` trees and at the end."""
-    held = trained.model.stages[0].transform(feats.where(F.col("split") == "test"))
-    squared = trained.model.stages[1].evaluateEachIteration(held, "squared")
-    rows = [(n, float(e) ** 0.5) for n, e in enumerate(squared, 1) if n % every == 0 or n == len(squared)]
-    return feats.sparkSession.createDataFrame(rows, "n_trees int, rmse double")
+def validation_curve(trained: TrainedModel, spark: SparkSession) -> DataFrame:
+    """M3: (n_trees, rmse) of the ensemble's first n trees on the hold-out rows, kept while the trees grew."""
+    return spark.createDataFrame(trained.model.curve, "n_trees int, rmse double")
 
 
 def regression_metrics(scored: DataFrame, label: str = "price", prediction: str = "prediction") -> DataFrame:
@@ -164,9 +132,10 @@ def spot_check(scored: DataFrame, key: str = "listing_id", k: int = 10, seed: in
 # ---- persistence (S3, S4) -------------------------------------------------
 
 def save(trained: TrainedModel, path: str) -> None:
-    """Pipeline model dir + Parquet encoder tables + one JSON metadata row."""
+    """Trees as JSON + Parquet encoder tables + one JSON metadata row."""
     spark = trained.prep.mfr_enc.sparkSession
-    trained.model.write().overwrite().save(os.path.join(path, "model"))
+    spark.createDataFrame([(trained.model.to_json(),)], "model string").coalesce(1) \
+        .write.mode("overwrite").text(os.path.join(path, "model"))
     trained.prep.mfr_enc.write.mode("overwrite").parquet(os.path.join(path, "manufacturer_encoder"))
     trained.prep.model_enc.write.mode("overwrite").parquet(os.path.join(path, "model_encoder"))
     trained.prep.one_hot.write().overwrite().save(os.path.join(path, "one_hot"))
@@ -174,7 +143,7 @@ def save(trained: TrainedModel, path: str) -> None:
         "global_mean": trained.prep.global_mean, "price_cap": trained.prep.price_cap,
         "top_types": trained.prep.top_types,
         "training_year": trained.prep.training_year, "feature_names": trained.prep.feature_names,
-        "params": trained.params.__dict__,
+        "params": vars(trained.params),
     }
     spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1) \
         .write.mode("overwrite").text(os.path.join(path, "meta"))
@@ -189,4 +158,5 @@ def load(spark: SparkSession, path: str) -> TrainedModel:
         spark.read.parquet(os.path.join(path, "model_encoder")),
         meta["training_year"],
     )
-    return TrainedModel(prep, PipelineModel.load(os.path.join(path, "model")), GBTParams(**meta["params"]))
+    model = BoostedTrees.from_json(spark.read.text(os.path.join(path, "model"), wholetext=True).first()[0])
+    return TrainedModel(prep, model, BoostParams(**meta["params"]))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -56,6 +58,20 @@ def get_spark(master: str | None = None, app: str = "dealerlens", **conf: str) -
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package, once an application, unless PYTHONPATH names its folder for them already."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    app = spark.sparkContext.applicationId
+    if app in _shipped or root in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    base = os.path.join(tempfile.mkdtemp(prefix="dealerlens-ship-"), "dealerlens")
+    spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", root, "dealerlens"))
+    _shipped.add(app)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, which all executors must share.
 

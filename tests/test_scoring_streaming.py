@@ -17,7 +17,7 @@ from dealerlens.streaming import scorer
 
 def _trained(spark, sf):
     canon = canonical_listings(scan_listings(fixture(spark, sf, "listings")))
-    return tr.train(canon, tr.GBTParams(n_trees=3, max_depth=4))
+    return tr.train(canon, tr.BoostParams(n_trees=3, max_depth=4))
 
 
 def _requests(spark, rows):
@@ -131,7 +131,7 @@ def _priced(spark, n=40):
 
 
 def test_expensive_model_scores_above_a_cheap_one(spark, tmp_path):
-    trained, _ = tr.train(_priced(spark), tr.GBTParams(n_trees=20, max_depth=3, step_size=0.3))
+    trained, _ = tr.train(_priced(spark), tr.BoostParams(n_trees=20, max_depth=3, step_size=0.3))
     body = '{"year":2015,"manufacturer":"%s","model":"%s","odometer":52000,"fuel":"gas","transmission":"automatic"}'
     req = _requests(spark, [(1, "a", None, body % ("bmw", "x5")), (2, "a", None, body % ("honda", "civic"))])
     plan.write_scores(req, trained, str(tmp_path / "scores"))  # S8
@@ -140,9 +140,9 @@ def test_expensive_model_scores_above_a_cheap_one(spark, tmp_path):
 
 
 def test_validation_curve_and_fit_on(spark):
-    params = tr.GBTParams(n_trees=7, max_depth=3, step_size=0.3)
+    params = tr.BoostParams(n_trees=7, max_depth=3, step_size=0.3, every=3)
     trained, feats = tr.train(_priced(spark), params)
-    curve = [(r.n_trees, r.rmse) for r in tr.validation_curve(trained, feats, every=3).collect()]
+    curve = [(r.n_trees, r.rmse) for r in tr.validation_curve(trained, spark).collect()]
     assert [n for n, _ in curve] == [3, 6, 7] and curve[-1][1] < curve[0][1]
     held = trained.model.transform(feats.where(F.col("split") == "test"))
     rmse = held.select(F.sqrt(F.avg((F.col("price") - F.col("prediction")) ** 2))).first()[0]
