@@ -86,22 +86,34 @@ def _order(c_at: str = "changed_at", c_id: str = "change_id") -> Column:
     return F.struct(F.col(c_at).alias("at"), F.col(c_id).alias("cid"))
 
 
+def _number(name: str) -> Column:
+    """The field as a double; what is not a finite number is null (JSON has no other)."""
+    x = F.col(name).try_cast("double")
+    return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+
+
+def _whole(name: str) -> Column:
+    """The field as an int: cut to a whole number, and to the nearest bound."""
+    x = _number(name)
+    return F.when(x >= 2.0**31 - 1, F.lit(2**31 - 1)).when(x <= -2.0**31, F.lit(-2**31)).otherwise(x.cast("int"))
+
+
 def payload_fields() -> list[Column]:
     """The eleven fields a change carries, as a row stores them."""
     return [
         F.col("brand"), F.col("model"),
-        F.col("model_year").try_cast("double").cast("int").alias("model_year"),
-        F.col("mileage").try_cast("double").alias("mileage"), F.col("engine").try_cast("double").alias("engine"),
+        _whole("model_year").alias("model_year"),
+        _number("mileage").alias("mileage"), _number("engine").alias("engine"),
         F.col("fuel_type"), F.col("transmission"),
         F.coalesce(F.col("clean_title"), F.lit(True)).alias("clean_title"),
         F.coalesce(F.col("has_accident"), F.lit(False)).alias("has_accident"),
-        F.col("predicted_price").try_cast("double").alias("predicted_price"),
+        _number("predicted_price").alias("predicted_price"),
         F.col("prediction_data"),
     ]
 
 
-def creates(resolved: DataFrame, snapshot: DataFrame) -> DataFrame:
-    """Create changes with ``message`` (null = accepted) and the new rows' values.
+def creates(resolved: DataFrame, snapshot: DataFrame, above: int | None = None) -> DataFrame:
+    """Create changes with ``message`` (null = accepted) and the new rows' values; new ids lie over ``above``, or over the snapshot's.
 
     The numbers are read before the user is looked up, then brand and model are checked; a new row has no prediction data.
     """
@@ -113,7 +125,7 @@ def creates(resolved: DataFrame, snapshot: DataFrame) -> DataFrame:
         F.when(F.col("actor_id").isNull(), F.lit(MSG_USER_NOT_FOUND)),
         F.when(_blank(F.col("brand")), F.lit(MSG_BRAND)),
         F.when(_blank(F.col("model")), F.lit(MSG_MODEL)))
-    largest = snapshot.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("m")).scalar()
+    largest = snapshot.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("m")).scalar() if above is None else F.lit(above)
     return c.select(
         "change_id", "op", "changed_at", (largest + F.col("change_id")).alias("id"), F.col("actor_id").alias("user_id"),
         *FIELDS, F.col("changed_at").alias("created_at"), msg.alias("message"),
@@ -157,11 +169,11 @@ def exists_by_id_and_user(resolved: DataFrame, snapshot: DataFrame) -> DataFrame
     return ch.join(s, (ch["favorite_id"] == s["_sid"]) & (ch["actor_id"] == s["_suid"]), "left_semi")
 
 
-def judge(snapshot: DataFrame, changes: DataFrame, users: DataFrame) -> DataFrame:
+def judge(snapshot: DataFrame, changes: DataFrame, users: DataFrame, above: int | None = None) -> DataFrame:
     """Every change once, with the row it is about (``id``, ``user_id`` of a new row), its fields, ``message`` (null =
     applied) and ``code``; written to the shared folder."""
     resolved = materialize(resolve_users(changes, users), "resolved_changes")
-    made = creates(resolved, snapshot)
+    made = creates(resolved, snapshot, above)
     acc = access(resolved, _targets(snapshot, made.where(F.col("message").isNull())))
     addressed = acc.select("change_id", "op", "changed_at", F.col("favorite_id").alias("id"), F.lit(None).cast("long").alias("user_id"),
                            *payload_fields(), F.col("changed_at").alias("created_at"), "message")
@@ -169,26 +181,29 @@ def judge(snapshot: DataFrame, changes: DataFrame, users: DataFrame) -> DataFram
     return materialize(both.withColumn("code", error_code(F.col("message"), F.col("op"))), "judged_changes")
 
 
-def apply_changes(snapshot: DataFrame, changes: DataFrame, users: DataFrame) -> dict[str, DataFrame]:
-    """Returns ``snapshot``, ``created``, ``updated``, ``deleted``, ``outcomes`` (one row a change), ``access``."""
-    judged = judge(snapshot, changes, users)
+def apply_changes(snapshot: DataFrame, changes: DataFrame, users: DataFrame, above: int | None = None) -> dict[str, DataFrame]:
+    """Returns ``snapshot``, ``created``, ``updated``, ``deleted``, ``outcomes`` (one row a change), ``access``, and ``written``
+    (the snapshot's rows that the changes made or updated). ``above`` keeps new ids over all that were ever given."""
+    judged = judge(snapshot, changes, users, above)
     applied = judged.where(F.col("message").isNull())
     accepted = applied.where(F.col("op") == "create").select(*SNAPSHOT_COLUMNS)
     values = F.struct(*FIELDS, F.col("change_id").alias("last_change_id"))
     effect = (applied.where(F.col("op") != "create").groupBy(F.col("id").alias("_id"))
               .agg(F.max(F.col("op") == "delete").alias("_gone"),
                    F.max_by(values, F.when(F.col("op") == "update", _order())).alias("_u")))
-    base = snapshot.select(*SNAPSHOT_COLUMNS).unionByName(accepted)
+    base = (snapshot.select(*SNAPSHOT_COLUMNS, F.lit(False).alias("_new"))
+            .unionByName(accepted.withColumn("_new", F.lit(True))))
     merged = base.join(effect, base["id"] == effect["_id"], "left").where(~F.coalesce(F.col("_gone"), F.lit(False)))
     cols = [F.col("id"), F.col("user_id")] + [
         F.when(F.col("_u").isNotNull(), F.col(f"_u.{c}")).otherwise(F.col(c)).alias(c) for c in FIELDS
     ] + [F.col("created_at")]
-    final = merged.select(*cols, F.col("_u.last_change_id").alias("last_change_id"))
+    final = merged.select(*cols, F.col("_u.last_change_id").alias("last_change_id"), "_new")
     outcomes = judged.select("change_id", "op", F.col("id").alias("favorite_id"), "message", "code")
     return {
-        "snapshot": final.drop("last_change_id"),
+        "snapshot": final.drop("last_change_id", "_new"),
+        "written": final.where(F.col("_new") | F.col("last_change_id").isNotNull()).drop("last_change_id", "_new"),
         "created": accepted,
-        "updated": final.where(F.col("last_change_id").isNotNull()),
+        "updated": final.where(F.col("last_change_id").isNotNull()).drop("_new"),
         "deleted": applied.where(F.col("op") == "delete").select("id", "change_id"),
         "outcomes": outcomes,
         "access": outcomes.where(F.col("op") != "create"),

@@ -109,6 +109,24 @@ def test_rejected_scans_once_a_side_and_limits_ranks(spark, sf):
     assert "WindowGroupLimit" in plan and plan.count("FileScan") <= 2 * 1
 
 
+def test_one_odd_year_rejects_one_change(spark):
+    years = ["NaN", "1e20", "-1e20", "2021.9", "late", None, "Infinity"]
+    ch = _changes(spark, [(i, "create", "a@x", None, "kia", "soul", 7.0) for i in range(1, 8)])
+    ch = ch.withColumn("model_year", F.element_at(F.array(*map(F.lit, years)), F.col("change_id").cast("int")))
+    out = fav.apply_changes(_snapshot(spark), ch, _users(spark))
+    bad = {r.change_id: r.message for r in out["outcomes"].collect()}
+    assert bad == {1: "Model year must be a number", 2: None, 3: None, 4: None, 5: "Model year must be a number",
+                   6: "Model year must be a number", 7: "Model year must be a number"}
+    assert sorted(r.model_year for r in out["created"].collect()) == [-2**31, 2021, 2**31 - 1]
+    miles = fav.apply_changes(_snapshot(spark), _changes(spark, [(1, "create", "a@x", None, "kia", "soul", 7.0)]).withColumn(
+        "mileage", F.lit("NaN")), _users(spark))
+    assert [r.message for r in miles["outcomes"].collect()] == ["Mileage must be a number"]
+
+
+def _rows(df):
+    return sorted(tuple(r) for r in df.select(*fav.SNAPSHOT_COLUMNS).collect())
+
+
 def test_stream_upsert_replays_and_carries_on(spark, tmp_path):
     from dealerlens.streaming import upsert
 
@@ -121,7 +139,40 @@ def test_stream_upsert_replays_and_carries_on(spark, tmp_path):
         q = upsert.start(stream, _snapshot(spark), _users(spark), root, str(tmp_path / "checkpoint"))
         q.processAllAvailable()
         q.stop()
-    got = {r.id: r.model for r in spark.read.parquet(upsert.version_path(root + "/snapshot", 1)).collect()}
     want = fav.apply_changes(fav.apply_changes(_snapshot(spark), first, _users(spark))["snapshot"], second, _users(spark))
-    assert got == {r.id: r.model for r in want["snapshot"].collect()} == {2: "rio", 3: "ev6"}
-    assert [r.change_id for r in spark.read.parquet(upsert.version_path(root + "/rejected", 1)).collect()] == [5]
+    got = _rows(upsert.read(spark, root))
+    assert got == _rows(want["snapshot"]) and {r[0]: r[3] for r in got} == {2: "rio", 3: "ev6"}
+    assert [r.change_id for r in spark.read.parquet(upsert.rejected_path(root, 2)).collect()] == [5]
+    upsert.apply_batch(second, 2, _users(spark), root)  # a replay
+    assert _rows(upsert.read(spark, root)) == got
+
+
+def test_upsert_compacts_and_never_gives_an_id_twice(spark, tmp_path):
+    from dealerlens.streaming import upsert
+
+    root, users, snap = str(tmp_path / "t"), _users(spark), _snapshot(spark)
+    upsert.create(snap, root)
+    batches = [[(5, "create", "a@x", None, "kia", "soul", 7.0)], [(6, "delete", "a@x", 7, None, None, None), (7, "delete", "b@x", 2, None, None, None)],
+               [(11, "create", "b@x", None, "kia", "rio", 1.0)], [(12, "update", "a@x", 1, "vw", "golf", 2.0)]]
+    for n, rows in enumerate(batches, 1):
+        upsert.apply_batch(_changes(spark, rows), n, users, root, compact_every=2)
+        assert upsert.mark(spark, root).base == n - n % 2
+    assert {r[0]: r[3] for r in _rows(upsert.read(spark, root))} == {1: "golf", 18: "rio"}  # 7 was the largest ever given
+
+
+def test_a_batch_writes_as_much_as_it_touches(spark, tmp_path):
+    from dealerlens.streaming import upsert
+
+    def size(path):
+        return sum(p.stat().st_size for p in path.rglob("*.parquet"))
+
+    many = spark.range(1, 20001).select("id", F.lit(10).cast("long").alias("user_id"), *[
+        F.lit(v).cast(t).alias(c) for c, t, v in (
+            ("brand", "string", "kia"), ("model", "string", "soul"), ("model_year", "int", 2020), ("mileage", "double", 1.0), ("engine", "double", 1.0),
+            ("fuel_type", "string", "gas"), ("transmission", "string", "manual"), ("clean_title", "boolean", True), ("has_accident", "boolean", False),
+            ("predicted_price", "double", 5.0))], F.uuid().alias("prediction_data"), F.lit(T0).alias("created_at"))
+    upsert.create(many, str(tmp_path / "t"))
+    upsert.apply_batch(_changes(spark, [(1, "update", "a@x", 77, "vw", "golf", 2.0)]), 1, _users(spark), str(tmp_path / "t"))
+    assert size(tmp_path / "t" / "delta") < size(tmp_path / "t" / "base") / 20
+    got = upsert.read(spark, str(tmp_path / "t"))
+    assert got.count() == 20000 and got.where("model = 'golf'").count() == 1
