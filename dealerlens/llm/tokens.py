@@ -12,8 +12,11 @@ from __future__ import annotations
 import functools
 import os
 import re
+import unicodedata
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words a worker remembers; bounds its memory, not what is encoded.
 MAX_WORDS = 600_000
@@ -21,8 +24,22 @@ _MISSES = 50_000
 
 #: Letters, then ASCII marks (no apostrophe): two tokens of the tokenizer's own splitting.
 _MARKED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
-_COMBINING = (b"\xcc", b"\xcd")
-_SPECIAL = b"<|"
+_COMBINING = re.compile("[\u0300-\u037f]")
+_SPECIAL = "<|"
+
+
+def _letters(word: str) -> bool:
+    """Whether the tokenizer, which composes and lower-cases first, still reads letters only (``İ`` becomes a letter and a mark)."""
+    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+
+
+def copied(ids: list[bytes], word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids (four bytes each) of a sequence of words, given as places in ``ids``, and where each word's ids end."""
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    each, begins = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
+    size = sizes[word]
+    ends = np.cumsum(size)
+    return each[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins[word] - (ends - size), size)], ends
 
 
 class WordTokenizer:
@@ -35,72 +52,71 @@ class WordTokenizer:
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.ends_word = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, words: set[bytes]) -> None:
+    def _learn(self, words: list[str]) -> None:
         """Remember the ids of new words."""
         known, marked, plain, other = self.known, [], set(), set()
         for w in words:
-            s = w.decode()
-            if s.isalpha():
-                plain.add(s)
-            elif (m := _MARKED.fullmatch(s)) and m[1].isalpha():
-                marked.append((w, m[1].encode(), m[2].encode()))
-                plain |= {m[1]} if m[1].encode() not in known else set()
-                other |= {m[2]} if m[2].encode() not in known else set()
+            if _letters(w):
+                plain.add(w)
+            elif (m := _MARKED.fullmatch(w)) and _letters(m[1]):
+                marked.append((w, m[1], m[2]))
+                plain |= {m[1]} if m[1] not in known else set()
+                other |= {m[2]} if m[2] not in known else set()
             else:
-                other.add(s)
+                other.add(w)
         todo = sorted(plain)
         for k in range(0, len(todo), _MISSES):
             part = todo[k:k + _MISSES]
             ids = np.array(self._batch([" ".join(part)])[0], dtype="<u4")
             ends = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(ends) != len(part):  # a letter that lower-cases to more than letters
+            if len(ends) != len(part):  # a letter that the tokenizer reads as more than letters
                 other.update(part)
                 continue
             raw, at = ids.tobytes(), 0
-            for s, end in zip(part, (ends * 4).tolist(), strict=True):
-                known[s.encode()] = raw[at:end]
+            for w, end in zip(part, (ends * 4).tolist(), strict=True):
+                known[w] = raw[at:end]
                 at = end
         todo = sorted(other)
         for k in range(0, len(todo), _MISSES):
             part = todo[k:k + _MISSES]
-            for s, ids in zip(part, self._batch(part), strict=True):
-                known[s.encode()] = np.array(ids, dtype="<u4").tobytes()
+            for w, ids in zip(part, self._batch(part), strict=True):
+                known[w] = np.array(ids, dtype="<u4").tobytes()
         for w, letters, marks in marked:
             known[w] = known[letters] + known[marks]
 
     def _batch(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _of_words(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that may be read word by word: each distinct word is looked up once, its ids are copied to its places."""
+        words = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.string())))
+        coded = words.flatten().dictionary_encode()
+        each = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.known.get, each))
+        if None in found:
+            if len(self.known) > MAX_WORDS:
+                self.known.clear()
+                self.known[""] = b""
+                found = [None] * len(each)
+            self._learn([w for w, ids in zip(each, found, strict=True) if ids is None])
+            found = list(map(self.known.__getitem__, each))
+        ids, ends = copied(found, coded.indices.to_numpy())
+        ids, cuts = ids.tobytes(), np.r_[0, ends][np.r_[0, np.cumsum(words.value_lengths().to_numpy())]] * 4
+        return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
-        for k in range(0, len(texts), 256):  # words of so many texts are held at once
-            if len(self.known) > MAX_WORDS:
-                self.known.clear()
-            get, split, found, new = self.known.get, [], [], set()
-            for text in texts[k:k + 256]:
-                raw = text.encode()
-                if _SPECIAL in raw or any(c in raw for c in _COMBINING):
-                    split.append(())
-                    found.append([self.whole(text)])
-                    continue
-                words = raw.lower().split()
-                ids = list(map(get, words))
-                if None in ids:
-                    new.update(w for w, i in zip(words, ids, strict=True) if i is None)
-                split.append(words)
-                found.append(ids)
-            if new:
-                self._learn(new)
-                for words, ids in zip(split, found, strict=True):
-                    if None in ids:
-                        ids[:] = map(get, words)
-            out += map(b"".join, found)
+        for k in range(0, len(texts), 1000):  # words of so many texts are held at once
+            part = texts[k:k + 1000]
+            whole = [_SPECIAL in t or _COMBINING.search(t) is not None for t in part]
+            ids = iter(self._of_words([t for t, w in zip(part, whole, strict=True) if not w]))
+            out += [self.whole(t) if w else next(ids) for t, w in zip(part, whole, strict=True)]
         return out
 
 
