@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 import os
 import shutil
 import tempfile
@@ -46,6 +47,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of written tables now: it does so once the driver's JVM has collected their plans.
+
+    The session holds its last plan, so that a small one goes before.
+    """
+    spark.range(1).collect()
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 _shipped: set[str] = set()
 
 

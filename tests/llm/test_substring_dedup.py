@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 
 from cases import documents, edge_docs, edge_rows, rows_of
@@ -67,7 +68,8 @@ def test_automaton_knows_the_smallest_id_of_every_run():
     runs = [[b"%d" % rng.randrange(3) for _ in range(rng.randrange(1, 30))] for _ in range(60)]
     ids = [rng.randrange(1000) for _ in runs]
     for window in (1, 4):
-        made = op.Automaton.unpacked(op.Automaton.of(runs, ids, window).packed())
+        as_text = lambda x: pa.array([b" ".join(r).decode() for r in x], pa.string())
+        made = op.Automaton(as_text(runs), ids, window)
         queries = runs[:20] + [[b"%d" % rng.randrange(4) for _ in range(rng.randrange(1, 40))] for _ in range(60)]
         want = {}
         for q, run in enumerate(queries):
@@ -76,7 +78,7 @@ def test_automaton_knows_the_smallest_id_of_every_run():
                 holds = [i for r, i in zip(runs, ids, strict=True) if any(r[k:k + window] == part for k in range(len(r)))]
                 if holds:
                     want[q, end - 1] = min(holds)
-        assert {(q, at): i for at, found, least in made.matches(queries, window)
+        assert {(q, at): i for at, found, least in made.matches(as_text(queries))
                 for q, i in zip(found.tolist(), least.tolist(), strict=True)} == want
 
 
