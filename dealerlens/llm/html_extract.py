@@ -24,13 +24,19 @@ from pyspark.sql import functions as F
 from dealerlens.llm.common import table
 from dealerlens.llm.labelled_pages import MARK, labelled_pages
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S)
+#: Attributes: names, each with or without ``=`` and a value, which may hold a slash, if it is quoted also white space and ``>``.
+_ATTRS = r"(?:[\s/]+|=?[^\s/>=<]+(?>\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s<>\"'][^\s<>]*)?)?|=)*+"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)({_ATTRS})>|<[!?][^>]*>|[^<]+|<", re.S)
+#: A last value without quotes, which the slash before the ``>`` belongs to.
+_OPEN_VALUE = re.compile(r"=\s*[^\s\"'>][^\s>]*\Z")
 _ATTR = re.compile(r"(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{2,}")
 
 # Element kinds of HTML.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _SKIPPED = frozenset("script style noscript template title iframe svg object textarea select option button canvas audio video annotation annotation-xml".split())
+#: Elements of other vocabularies: there a slash before the ``>`` closes, in HTML it says nothing.
+_FOREIGN = frozenset("svg annotation annotation-xml".split())
 _RAW = frozenset("script style title textarea iframe noscript".split())
 #: Tags that make no node: the document's frame, and what may stand in its head besides skipped elements.
 _FRAME = frozenset("html head body meta link base".split())
@@ -70,6 +76,10 @@ def _attr_words(attrs: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(w[:-1] if w.endswith("s") and len(w) > 3 else w for w in found))
 
 
+def _closes_itself(name: str, attrs: str) -> bool:
+    return name in _FOREIGN and attrs.endswith("/") and not _OPEN_VALUE.search(attrs)
+
+
 def parse(page: str) -> Tree:
     """The block tree of a page. End tags that HTML lets out are implied; unmatched end tags are ignored; a text run is what stands
     between two block boundaries, its white space collapsed."""
@@ -111,7 +121,7 @@ def parse(page: str) -> Tree:
             continue
         name = name.lower()
         if name in _RAW:  # nothing counts in it but its own end tag
-            if not m[1] and not m[3].endswith("/"):
+            if not m[1]:
                 end = _RAW_END[name].search(page, pos)
                 pos = end.end() if end else len(page)
             continue
@@ -119,12 +129,12 @@ def parse(page: str) -> Tree:
             skip = None  # its end tag is let out, and the parent ends
         if skip is not None:
             if name == skip:
-                depth += -1 if m[1] else 0 if name == "option" or m[3].endswith("/") else 1
+                depth += -1 if m[1] else 0 if name == "option" or _closes_itself(name, m[3]) else 1
                 if depth == 0:
                     skip = None
             continue
         if name in _SKIPPED:
-            if not m[1] and not m[3].endswith("/"):
+            if not m[1] and not _closes_itself(name, m[3]):
                 skip, depth = name, 1
             continue
         if name in _INLINE:
@@ -146,7 +156,7 @@ def parse(page: str) -> Tree:
         if name in _FRAME:
             continue
         node = tree.add(stack[-1], name, _attr_words(m[3]) if m[3] else ())
-        if name not in _VOID and not m[3].endswith("/"):
+        if name not in _VOID:
             stack.append(node)
     flush()
     return tree

@@ -51,6 +51,27 @@ def test_parsing_rules():
     assert [t for t in tree.text if t] == ["a &amp; b c <d>", "e", "f", "g", "x < y"]
 
 
+def test_attributes_and_slashes():
+    pages = {
+        "<p>a</p><script src=/js/>var x = 'menu'; call(x);</script><p>b</p>": ["a", "b"], '<script src="x"/>code()</script><p>t</p>': ["t"],
+        "<article><div/><p>in</p></article><p>out</p>": ["in", "out"], "<p title=Bob's>The first one</p><p>x</p>": ["The first one", "x"],
+        "<div data-u=/x/><p>in</p></div><p>after</p>": ["in", "after"], "<svg/><p>k</p>": ["k"], "<svg width=10/><path/></svg><p>k</p>": ["k"],
+        "<p = x>y</p>": ["y"], '<a href="a>b">z</a>': ["z"], "<p a='>' b>c</p>": ["c"], "<option value=/><p>k</p>": [], "a <b c < d": ["a <b c < d"]}
+    for page, texts in pages.items():
+        assert [t for t in op.parse(page).text if t] == texts, page
+    within = op.parse("<article><div/><p>in</p></article><p>out</p>")
+    assert within.tag[within.parent[within.parent[within.text.index("in")]]] == "div"
+
+
+def test_long_broken_markup_is_read_in_one_go():
+    import time
+
+    began = time.time()
+    for page in ("<" + "a" * 300_000, "<p " + "a=b " * 100_000, "<a " * 100_000, "<a b='" * 60_001, "=" * 100_000, "<p a=" + "/" * 300_000):
+        op.parse(page)
+    assert time.time() - began < 30
+
+
 def test_edge_cases(spark):
     page = "<nav><a href=x>Home</a></nav><article><h1>A title of it</h1><p>A first paragraph, of some length.</p></article>"
     deep = "<div>" * 3000 + page + "</div>" * 3000
