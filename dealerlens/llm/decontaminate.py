@@ -70,7 +70,7 @@ def windows(rows: DataFrame, text_col: str, sizes: list[int]) -> DataFrame:
     keep = [c for c in rows.columns if c != text_col]
     raw = rows.select(*keep, tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("raw"))
     named = F.exists("raw", _is_name)
-    plain = F.transform("raw", lambda t: F.when(_is_name(t), F.substring(t, 2, 1_000_000)).otherwise(t))
+    plain = F.transform("raw", lambda t: F.when(_is_name(t), F.substr(t, F.lit(2))).otherwise(t))
     numbered = F.exists("raw", _is_quantity)
     both = raw.select(*keep, "raw", F.size("raw").alias("n_tokens"), F.when(named, plain).alias("plain"),
                       F.when(named, F.transform("raw", _is_name)).alias("names"), F.when(numbered, F.transform("raw", _is_quantity)).alias("quantities"))
@@ -81,7 +81,7 @@ def windows(rows: DataFrame, text_col: str, sizes: list[int]) -> DataFrame:
     def vals(tokens_col: str) -> Column:
         return F.when(F.exists(tokens_col, _is_slot), F.transform(tokens_col, lambda t: F.when(_is_slot(t), t)))
 
-    literal = F.transform("raw", lambda t: F.xxhash64(F.when((t >= _NUMBER) & (t < _AFTER), F.substring(t, 2, 1_000_000)).otherwise(t)))
+    literal = F.transform("raw", lambda t: F.xxhash64(F.when((t >= _NUMBER) & (t < _AFTER), F.substr(t, F.lit(2))).otherwise(t)))
     ready = both.select(*keep, "n_tokens", "names", "quantities", F.when(F.col("quantities").isNotNull(), literal).alias("literal_ids"),
                         F.lit(None).cast("array<string>").alias("no_vals"), ids("raw").alias("ids"), vals("raw").alias("vals"),
                         ids("plain").alias("plain_ids"), vals("plain").alias("plain_vals"))
