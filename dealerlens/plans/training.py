@@ -1,14 +1,12 @@
 """Training batch (E1): canonical listings -> fitted preprocessors ->
-feature matrix -> boosted trees -> metrics, and bundle persistence (S3, S4).
+feature matrix -> boosted trees -> metrics.
 
 Fitted tables (encoders) stay DataFrames written under the shared folder; scalars and the one-hot
-labels that Spark ML's indexer keeps reach the driver.
+labels that Spark ML's indexer keeps reach the driver. Bundles are saved and loaded by :mod:`dealerlens.plans.bundle`.
 """
 
 from __future__ import annotations
 
-import json
-import os
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
@@ -127,36 +125,3 @@ def spot_check(scored: DataFrame, key: str = "listing_id", k: int = 10, seed: in
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
     return (scored.withColumn("_h", digest).orderBy("_h", key).limit(k)
                   .select(key, F.col("price").alias("actual"), "prediction"))
-
-
-# ---- persistence (S3, S4) -------------------------------------------------
-
-def save(trained: TrainedModel, path: str) -> None:
-    """Trees as JSON + Parquet encoder tables + one JSON metadata row."""
-    spark = trained.prep.mfr_enc.sparkSession
-    spark.createDataFrame([(trained.model.to_json(),)], "model string").coalesce(1) \
-        .write.mode("overwrite").text(os.path.join(path, "model"))
-    trained.prep.mfr_enc.write.mode("overwrite").parquet(os.path.join(path, "manufacturer_encoder"))
-    trained.prep.model_enc.write.mode("overwrite").parquet(os.path.join(path, "model_encoder"))
-    trained.prep.one_hot.write().overwrite().save(os.path.join(path, "one_hot"))
-    meta = {
-        "global_mean": trained.prep.global_mean, "price_cap": trained.prep.price_cap,
-        "top_types": trained.prep.top_types,
-        "training_year": trained.prep.training_year, "feature_names": trained.prep.feature_names,
-        "params": vars(trained.params),
-    }
-    spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1) \
-        .write.mode("overwrite").text(os.path.join(path, "meta"))
-
-
-def load(spark: SparkSession, path: str) -> TrainedModel:
-    meta = json.loads(spark.read.text(os.path.join(path, "meta")).first()[0])
-    prep = Preprocessors(
-        meta["global_mean"], meta["price_cap"], meta["top_types"],
-        PipelineModel.load(os.path.join(path, "one_hot")),
-        spark.read.parquet(os.path.join(path, "manufacturer_encoder")),
-        spark.read.parquet(os.path.join(path, "model_encoder")),
-        meta["training_year"],
-    )
-    model = BoostedTrees.from_json(spark.read.text(os.path.join(path, "model"), wholetext=True).first()[0])
-    return TrainedModel(prep, model, BoostParams(**meta["params"]))

@@ -2,6 +2,7 @@ import datetime as dt
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from dealerlens.operators import scoring as sc
@@ -81,15 +82,65 @@ def test_stream_quota_counts(spark, sf):
     assert got == sorted((ip, start, n, n > 2) for (ip, start), n in want.items())
 
 
-def test_bundle_round_trip(spark, sf):
-    trained, feats = _trained(spark, sf)
-    path = tempfile.mkdtemp(prefix="dl-bundle-")
-    tr.save(trained, path)
-    loaded = tr.load(spark, path)
-    assert loaded.prep.feature_names == trained.prep.feature_names
-    a = trained.model.transform(feats).select("listing_id", "prediction")
-    b = loaded.model.transform(feats).select("listing_id", F.col("prediction").alias("p2"))
-    assert a.join(b, "listing_id").where(F.abs(F.col("prediction") - F.col("p2")) > 1e-9).count() == 0
+def _predictions(model, feats):
+    return sorted((r.listing_id, r.prediction) for r in model.transform(feats).select("listing_id", "prediction").collect())
+
+
+def _overwrite(folder, change):
+    for part in folder.glob("part-*.txt"):
+        part.write_text(change(part.read_text()))
+    for crc in folder.glob(".part-*.crc"):
+        crc.unlink()
+
+
+def test_bundle_round_trip_and_formats(spark, tmp_path):
+    from dealerlens.operators import features as fe
+    from dealerlens.plans import bundle
+
+    trained, feats = tr.train(_priced(spark), tr.BoostParams(n_trees=4, max_depth=3))
+    root = str(tmp_path / "bundle")
+    bundle.save(trained, root, formats=("json",))
+    assert _predictions(bundle.load(spark, root).model, feats) == _predictions(trained.model, feats)
+    bundle.save(trained, root)
+    loaded = bundle.load(spark, root)
+    again = tr.transform(_priced(spark).limit(3), loaded.prep).select(*fe.NUMERIC_FEATURES, *fe.CATEGORY_CODES)
+    assert again.collect() == tr.transform(_priced(spark).limit(3), trained.prep).select(*again.columns).collect()
+    assert loaded.prep.feature_names == trained.prep.feature_names and loaded.params == trained.params
+    # of a version with both forms the packed one is read
+    version = bundle.versions(spark, root)[0]
+    _overwrite(tmp_path / "bundle" / "versions" / version / "model.json", lambda text: "{}")
+    (tmp_path / "bundle" / "manifests" / version).rename(tmp_path / "old")
+    bundle.publish(spark, root, version)
+    assert _predictions(bundle.load(spark, root, version).model, feats) == _predictions(trained.model, feats)
+
+
+def test_unfinished_and_damaged_versions_are_not_read(spark, tmp_path):
+    from dataclasses import replace
+
+    from dealerlens.operators import boosting
+    from dealerlens.plans import bundle
+
+    root = str(tmp_path / "bundle")
+    trained, _ = tr.train(_priced(spark), tr.BoostParams(n_trees=3, max_depth=2))
+    names = []
+    for n in (1, 2, 3):
+        forest = boosting.Forest(trained.model.forest.trees[:n], trained.model.forest.base, trained.model.forest.n_numeric)
+        names.append(bundle.save(replace(trained, model=replace(trained.model, forest=forest)), root))
+    trees = lambda: len(bundle.load(spark, root).model.forest.trees)
+    assert bundle.versions(spark, root) == names[::-1] and trees() == 3
+    (tmp_path / "bundle" / "manifests" / names[2] / "_SUCCESS").unlink()  # the writer broke off before the manifest was whole
+    assert trees() == 2
+    _overwrite(tmp_path / "bundle" / "versions" / names[1] / "meta", lambda text: text.replace("7", "8", 1))  # as long as before
+    assert trees() == 1
+    names.append(bundle.save(trained, root))
+    assert trees() == 3
+    next((tmp_path / "bundle" / "versions" / names[3] / "meta").glob("part-*.txt")).write_text("{}")  # its own checksum file tells
+    assert trees() == 1
+    next((tmp_path / "bundle" / "versions" / names[0] / "manufacturer_encoder").glob("part-*")).unlink()
+    with pytest.raises(FileNotFoundError):
+        bundle.load(spark, root)
+    with pytest.raises(ValueError):
+        bundle.save(trained, root, formats=())
 
 
 def test_csv_source_na_tokens(spark):
