@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from dealerlens.operators import catalogue as cat
 from dealerlens.operators import clean, encoders
 from dealerlens.operators.canonicalize import with_steps
+from dealerlens.session import materialize
 from dealerlens.sources.fixtures import fixture
 from dealerlens.sources.listings import scan_listings
 
@@ -99,13 +100,19 @@ def q_top_types(spark, sf_dir):
     return cat.top_types(canon(spark, sf_dir)).withColumn("rank", F.col("rank").cast("long"))
 
 
+def _catalogue_rows(spark, sf_dir):
+    """The canonical listings' catalogue columns, written once for the several aggregates over them."""
+    columns = ("manufacturer", "model", "fuel", "transmission", "drive", "type")
+    return materialize(canon(spark, sf_dir).select(*columns), "catalogue_rows")
+
+
 def q_category_values(spark, sf_dir):
-    c = canon(spark, sf_dir)
+    c = _catalogue_rows(spark, sf_dir)
     return cat.category_values(c, cat.top_types(c)).withColumn("position", F.col("position").cast("long"))
 
 
 def q_car_options(spark, sf_dir):
-    c = canon(spark, sf_dir)
+    c = _catalogue_rows(spark, sf_dir)
     return cat.car_options(cat.popular_models(c), c, cat.top_types(c))
 
 
