@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -30,6 +31,27 @@ def test_word_by_word_equals_whole_texts(monkeypatch):
         assert tok.encode(texts) == [tok.whole(t) for t in texts]
 
 
+def test_random_texts_equal_the_library():
+    rng = random.Random(17)
+    blocks = [(0x20, 0x7f), (0xa0, 0x24f), (0x250, 0x3ff), (0x400, 0x52f), (0x590, 0x5ff), (0x900, 0x97f), (0xe00, 0xe7f), (0x1e00, 0x1fff),
+              (0x2000, 0x218f), (0x3040, 0x30ff), (0x4e00, 0x4e80), (0xac00, 0xac80), (0xf900, 0xfaff), (0xfb00, 0xfb4f), (0xff00, 0xffef),
+              (0x1d400, 0x1d4ff), (0x1f600, 0x1f64f)]
+
+    def char():
+        r = rng.random()
+        if r < .3:
+            return rng.choice(" \t\n.,;:!?'\"-_/()#&<|>$%1234567890")
+        if r < .6:
+            return rng.choice("İIıiŞşĞğÇçÖöÜüsſßﬁΣςabcdefghijklmnopqrstuvwxyzABC")
+        return chr(rng.randrange(*rng.choice(blocks)))
+
+    texts = ["TÜRKİYE'Nİ, BELEDİYESİ. EVİ!", "VALİLİĞİ. ŞEHRİ, ESKİ; yeni."] + [f"İ{m} xİ{m}y İ{m}{m}" for m in map(chr, range(33, 127)) if not m.isalnum()]
+    texts += ["".join(char() for _ in range(rng.randrange(1, 40))) for _ in range(20_000)]
+    tok = op.WordTokenizer(PATH)
+    wrong = [t for t, ids in zip(texts, tok.encode(texts), strict=True) if ids != tok.whole(t)]
+    assert wrong == []
+
+
 def test_first_fit_decreasing_and_gaps():
     rng = np.random.default_rng(0)
     lengths = rng.integers(1, 100, 300).tolist() + [51] * 80
