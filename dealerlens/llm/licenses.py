@@ -125,7 +125,7 @@ SUPERSEDED = [("bsd-2-text", "bsd-3-text"), ("bsd-2-text", "bsd-3-author"), ("ap
 
 _BLANK = r"[\x20\x09-\x0D]"
 #: What opens BSD's endorsement sentence, whoever is named, ends a unit too, so that the sentence is known by its rest.
-_NEITHER = "[^a-z0-9]+".join(["neither", "the", "name", "of", "[^;]{1,200}?", "nor", "the", "names", "of", "(?:its|any|other)", "contributors"])
+_NEITHER = "[^a-z0-9]+".join(["neither", "the", "name", "of", "[^;]+?", "nor", "the", "names", "of", "(?:its|any|other)", "contributors"])
 #: Lines without a letter or digit, as the empty ones of comment blocks ('#', ' *', '//'), end a sentence like empty lines.
 _SENTENCE_END = rf"[.!?:]+({_BLANK}+|\z)|\n(?:[^\p{{L}}\p{{N}}\n]*\n)+|{_NEITHER}"
 _LINE_END = rf"\n|{_NEITHER}"
