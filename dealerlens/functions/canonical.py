@@ -19,7 +19,7 @@ Steps 3 and 6 are joins and live in :mod:`dealerlens.operators.canonicalize`.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealerlens.functions.text import PY_WS, col, py_strip
@@ -47,19 +47,36 @@ def _re(c: Column, pattern: str) -> Column:
     return F.regexp_replace(c, "(?U)" + pattern, "")
 
 
-def preclean(model_raw: Column | str) -> Column:
+def _staged(df: DataFrame, out: str, steps) -> DataFrame:
+    """Column ``out`` by steps that each read ``out``: a column of its own each, so no step repeats the ones before."""
+    for step in steps:
+        df = df.withColumn(out, step(F.col(out)))
+    return df
+
+
+def _without_groups(s: Column) -> Column:
+    # (?d): '.' stops only at \n, as in Python
+    return F.when(F.contains(s, F.lit("(")), F.regexp_replace(s, r"(?d)\(.*?\)", "")).otherwise(s)
+
+
+def precleaned(df: DataFrame, model_raw: str, out: str = "model_pre") -> DataFrame:
     """Step 1; '' when nothing is left."""
-    s = F.lower(py_strip(col(model_raw)))
-    s = F.regexp_replace(s, r"(?d)\(.*?\)", "")  # (?d): '.' stops only at \n, as in Python
-    s = F.regexp_replace(s, r"[*#@!$%&/\\]", "")
-    s = _re(s, rf"^\d{{4}}{PY_WS}+")
-    return py_strip(s)
+    return _staged(df.withColumn(out, F.col(model_raw)), out, (
+        lambda s: F.lower(py_strip(s)),
+        lambda s: _re(F.regexp_replace(_without_groups(s), r"[*#@!$%&/\\]", ""), rf"^\d{{4}}{PY_WS}+"),
+        py_strip))
 
 
-def strip_prefixes(manufacturer: Column | str, s: Column | str) -> Column:
+def prefixes_stripped(df: DataFrame, manufacturer: str, source: str = "model_pre", out: str = "model_stripped") -> DataFrame:
     """Step 2 on the pre-cleaned text."""
-    m, s = col(manufacturer), col(s)
-    s = _re(s, ANY_BRAND_PREFIX)
+    return _staged(df.withColumn(out, F.col(source)), out, (
+        lambda s: F.when(F.startswith(s, F.lit("lifted")), _re(s, ANY_BRAND_PREFIX)).otherwise(s),
+        lambda s: _strip_brand(manufacturer, s),
+        py_strip))
+
+
+def _strip_brand(manufacturer: Column | str, s: Column) -> Column:
+    m = col(manufacturer)
     by_brand: dict[str, list[str]] = {}
     for brand, pat in BRAND_PREFIXES:
         by_brand.setdefault(brand, []).append(pat)
@@ -69,7 +86,7 @@ def strip_prefixes(manufacturer: Column | str, s: Column | str) -> Column:
         for p in pats:
             t = _re(t, p)
         out = (F.when(m == brand, t) if out is None else out.when(m == brand, t))
-    return py_strip(out.otherwise(s))
+    return out.otherwise(s)
 
 
 def clean_token(tok: Column) -> Column:
@@ -105,7 +122,7 @@ def walk_columns(df, stripped: str = "model_stripped", known: str = "known_model
     split, the token cleaning and the classification once per row instead of
     once per reference inside the final CASE.
     """
-    x = df.withColumn("_toks", tokens_without_year(stripped))
+    x = df.withColumn("_toks", F.when(F.col(known).isNull(), tokens_without_year(stripped)))  # known names need no tokens
     x = (x.withColumn("_t1", F.try_element_at(F.col("_toks"), F.lit(1)))
           .withColumn("_c2", clean_token(F.try_element_at(F.col("_toks"), F.lit(2))))
           .withColumn("_c3", clean_token(F.try_element_at(F.col("_toks"), F.lit(3)))))

@@ -26,8 +26,7 @@ def with_steps(df: DataFrame, manufacturer: str = "manufacturer", model_raw: str
     known = F.broadcast(known_models_df(spark))
     aliases = F.broadcast(aliases_df(spark))
     x = (
-        df.withColumn("model_pre", C.preclean(F.col(model_raw)))
-        .withColumn("model_stripped", C.strip_prefixes(F.col(manufacturer), F.col("model_pre")))
+        C.prefixes_stripped(C.precleaned(df, model_raw), manufacturer)
         .join(known, F.col(manufacturer) == F.col("k_manufacturer"), "left")
         .withColumn("known_model", C.first_prefix_match("model_stripped", "known_names"))
         .drop("k_manufacturer", "known_names")

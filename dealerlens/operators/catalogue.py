@@ -8,7 +8,7 @@ popular models, each backed by at least ``min_listings`` rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MIN_LISTINGS = 15
@@ -20,9 +20,14 @@ CONDITIONS = ("new", "like new", "excellent", "good", "fair", "salvage")
 SAMPLE_MAKERS = ("toyota", "honda", "lexus", "ford", "bmw")
 
 
+def _listings(canon: DataFrame) -> Column:
+    """Number of listings: rows, or the sum of ``n`` where a row already stands for ``n`` of them."""
+    return (F.sum("n") if "n" in canon.columns else F.count(F.lit(1))).alias("n")
+
+
 def model_counts(canon: DataFrame) -> DataFrame:
-    """A1: listings per (manufacturer, model)."""
-    return canon.groupBy("manufacturer", "model").agg(F.count(F.lit(1)).alias("n"))
+    """A1: listings per (manufacturer, model); ``canon`` has a row a listing, or rows that count ``n`` listings."""
+    return canon.groupBy("manufacturer", "model").agg(_listings(canon))
 
 
 def popular_models(canon: DataFrame, min_listings: int = MIN_LISTINGS) -> DataFrame:
@@ -64,7 +69,7 @@ def brands_models(popular: DataFrame) -> DataFrame:
 
 def top_types(canon: DataFrame, k: int = TOP_TYPES) -> DataFrame:
     """The ``k`` most frequent types; ties broken by name. TakeOrdered, no full sort."""
-    counts = canon.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    counts = canon.groupBy("type").agg(_listings(canon))
     top = counts.orderBy(F.desc("n"), F.asc("type")).limit(k)
     # k rows only: numbering them in one partition is free.
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), F.asc("type"))))

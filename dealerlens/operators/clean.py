@@ -93,6 +93,15 @@ def canonical_listings(scanned: DataFrame, limits: Limits = Limits()) -> DataFra
     return df.where(F.length("model") > 0)
 
 
+def canonical_groups(scanned: DataFrame, by: tuple[str, ...] = (), limits: Limits = Limits()) -> DataFrame:
+    """Cleaned listings summed up to (manufacturer, raw model, ``by``), with ``n`` and ``sum_price``, then given their canonical
+    ``model``; empty models dropped. Counts and sums add up, so aggregates by model can read these rows in place of the
+    listings: names that come often are canonicalised once, and names that never repeat cost one more aggregate."""
+    sums = clean_listings(scanned, limits).groupBy("manufacturer", "model_raw", *by).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("price").alias("sum_price"))
+    return canonicalize(sums).where(F.length("model") > 0)
+
+
 def cleaning_funnel(scanned: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """P7 + A12 in one aggregate pass over the scanned rows.
 

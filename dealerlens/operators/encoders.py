@@ -17,8 +17,10 @@ PRICE_CAP_QUANTILE = 0.99
 
 
 def pair_stats(canon: DataFrame, target: str = "price") -> DataFrame:
+    """Price sums and counts by pair, of listings or of rows that already hold such sums."""
+    summed = "sum_price" in canon.columns
     return canon.groupBy("manufacturer", "model").agg(
-        F.sum(target).alias("sum_price"), F.count(F.lit(1)).alias("n"))
+        F.sum("sum_price" if summed else target).alias("sum_price"), (F.sum("n") if summed else F.count(F.lit(1))).alias("n"))
 
 
 def global_mean(canon_or_stats: DataFrame, target: str = "price") -> DataFrame:

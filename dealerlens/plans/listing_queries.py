@@ -22,6 +22,10 @@ def canon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.canonical_listings(scanned(spark, sf_dir))
 
 
+def canon_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.canonical_groups(scanned(spark, sf_dir))
+
+
 def q_listings_scan(spark, sf_dir):
     return scanned(spark, sf_dir)
 
@@ -71,29 +75,29 @@ def q_cleaning_funnel(spark, sf_dir):
 
 
 def q_model_counts(spark, sf_dir):
-    return cat.model_counts(canon(spark, sf_dir))
+    return cat.model_counts(canon_groups(spark, sf_dir))
 
 
 def q_popular_models(spark, sf_dir):
-    return cat.popular_models(canon(spark, sf_dir))
+    return cat.popular_models(canon_groups(spark, sf_dir))
 
 
 def q_popular_summary(spark, sf_dir):
-    return cat.popular_summary(cat.popular_models(canon(spark, sf_dir)))
+    return cat.popular_summary(cat.popular_models(canon_groups(spark, sf_dir)))
 
 
 def q_popular_sample(spark, sf_dir):
-    return cat.sorted_models(cat.popular_models(canon(spark, sf_dir)), cat.SAMPLE_MAKERS, 20) \
+    return cat.sorted_models(cat.popular_models(canon_groups(spark, sf_dir)), cat.SAMPLE_MAKERS, 20) \
         .withColumn("position", F.col("position").cast("long"))
 
 
 def q_models_for_brand(spark, sf_dir):
-    return cat.sorted_models(cat.popular_models(canon(spark, sf_dir))) \
+    return cat.sorted_models(cat.popular_models(canon_groups(spark, sf_dir))) \
         .withColumn("position", F.col("position").cast("long"))
 
 
 def q_brands_models(spark, sf_dir):
-    return cat.brands_models(cat.popular_models(canon(spark, sf_dir))).drop("models")
+    return cat.brands_models(cat.popular_models(canon_groups(spark, sf_dir))).drop("models")
 
 
 def q_top_types(spark, sf_dir):
@@ -101,9 +105,9 @@ def q_top_types(spark, sf_dir):
 
 
 def _catalogue_rows(spark, sf_dir):
-    """The canonical listings' catalogue columns, written once for the several aggregates over them."""
-    columns = ("manufacturer", "model", "fuel", "transmission", "drive", "type")
-    return materialize(canon(spark, sf_dir).select(*columns), "catalogue_rows")
+    """The canonical listings' catalogue columns, counted and written once for the several aggregates over them."""
+    kinds = ("fuel", "transmission", "drive", "type")
+    return materialize(clean.canonical_groups(scanned(spark, sf_dir), kinds).select("manufacturer", "model", *kinds, "n"), "catalogue_rows")
 
 
 def q_category_values(spark, sf_dir):
@@ -117,11 +121,11 @@ def q_car_options(spark, sf_dir):
 
 
 def q_global_mean(spark, sf_dir):
-    return encoders.global_mean(canon(spark, sf_dir))
+    return encoders.global_mean(canon_groups(spark, sf_dir))
 
 
 def _encoders(spark, sf_dir):
-    stats = encoders.pair_stats(canon(spark, sf_dir))
+    stats = materialize(encoders.pair_stats(canon_groups(spark, sf_dir)), "pair_stats")
     gm = encoders.global_mean(stats).first()["global_mean"]
     return encoders.encoders(stats, gm)
 
@@ -135,7 +139,7 @@ def q_encode_model(spark, sf_dir):
 
 
 def q_price_cap(spark, sf_dir):
-    return encoders.price_cap(canon(spark, sf_dir))
+    return encoders.price_cap(materialize(canon(spark, sf_dir).select("price"), "prices"))  # read three times
 
 
 QUERIES = {

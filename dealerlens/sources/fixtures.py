@@ -13,6 +13,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from dealerlens.session import keep_compiled
+
 BASE_TABLES = ("lineitem", "events", "orders", "part", "customer")
 
 LISTINGS_SQL = """
@@ -144,6 +146,7 @@ def register_base_tables(spark: SparkSession, sf_dir: str) -> None:
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One fixture view as a DataFrame (lazy; column pruning reaches the scan)."""
+    keep_compiled(spark)
     register_base_tables(spark, sf_dir)
     return spark.sql(VIEWS[name])
 

@@ -47,3 +47,31 @@ def test_output_is_short_unless_known_or_aliased(spark):
     long_ok = {n for v in known_models().values() for n in v} | {c for _, _, c in model_aliases()}
     for r in with_steps(df).collect():
         assert len(r.model.split()) <= 3 or r.model in long_ok
+
+
+def test_groups_of_listings_have_the_counts_and_sums_of_listings(spark):
+    from dealerlens.operators import catalogue as cat
+    from dealerlens.operators import clean, encoders
+    from dealerlens.sources.listings import LISTING_COLUMNS
+
+    rows = [(str(1000 + 7 * i), "2010", m, t, None, None, ("gas", " GAS ", "diesel")[i % 3], "5", None, None, None, ("suv", "van")[i % 2])
+            for i, (m, t) in enumerate([("toyota", "4 runner sr5"), (" Toyota", "4runner"), ("toyota", "Camry LE"), ("ford", "f150"),
+                                        ("ford", "***"), ("ford", None), ("kia", "lifted sportage lx")] * 8)]
+    listings = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in LISTING_COLUMNS))
+    each, groups = clean.canonical_listings(listings), clean.canonical_groups(listings, ("fuel", "transmission", "drive", "type"))
+    assert 0 < groups.count() < each.count()
+    for of in (cat.model_counts, encoders.pair_stats, cat.top_types, lambda c: cat.category_values(c, cat.top_types(c))):
+        assert sorted(map(tuple, of(groups).collect())) == sorted(map(tuple, of(each).collect()))
+
+
+def test_long_listing_rules_are_not_left_to_the_interpreter(spark):
+    from dealerlens.session import HUGE_METHOD, keep_compiled
+
+    before = spark.conf.get(HUGE_METHOD)
+    try:
+        for given, kept in (("65535", "8000"), ("12000", "12000")):
+            spark.conf.set(HUGE_METHOD, given)
+            keep_compiled(spark)
+            assert spark.conf.get(HUGE_METHOD) == kept
+    finally:
+        spark.conf.set(HUGE_METHOD, before)
