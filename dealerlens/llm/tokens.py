@@ -2,8 +2,8 @@
 
 The tokenizer splits at white space before it merges, so a text's ids are the
 ids of its words one after another. Each worker keeps the ids of the words it
-has met (about ``MAX_WORDS``, then it starts anew), which spares most of the
-merging. Texts where a word alone could read differently (combining marks,
+has met (about ``MAX_WORDS``, then it keeps those of the texts in hand), which
+spares most of the merging. Texts where a word alone could read differently (combining marks,
 special tokens) are given to the tokenizer whole.
 """
 
@@ -22,15 +22,19 @@ import pyarrow.compute as pc
 MAX_WORDS = 600_000
 _MISSES = 50_000
 
-#: Letters, then ASCII marks (no apostrophe): two tokens of the tokenizer's own splitting.
-_MARKED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
+#: ASCII marks (no apostrophe). After letters they are a token of their own in the tokenizer's splitting.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Letters that composing and lower-casing leave as they are.
+_SETTLED = re.compile("[a-zß-öø-ÿ]+")
 _COMBINING = re.compile("[\u0300-\u037f]")
 _SPECIAL = "<|"
 
 
-def _letters(word: str) -> bool:
-    """Whether the tokenizer, which composes and lower-cases first, still reads letters only (``İ`` becomes a letter and a mark)."""
-    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+def _letters(words: list[str]) -> list[bool]:
+    """Which words the tokenizer, which composes and lower-cases first, still reads as letters only (``İ`` becomes a letter and a
+    mark). The words hold no spaces, so they are composed and lower-cased as one text."""
+    read = unicodedata.normalize("NFC", " ".join(words)).lower().split(" ")
+    return [a and b for a, b in zip(map(str.isalpha, words), map(str.isalpha, read), strict=True)] if words else []
 
 
 def copied(ids: list[bytes], word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -45,9 +49,12 @@ def copied(ids: list[bytes], word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class WordTokenizer:
     def __init__(self, path: str, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
+        self.merges = Tokenizer(self.tok.model)  # the same model for settled letters: no normalising, words parted at spaces
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.tok.encode_special_tokens = special_as_text
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.ends_word = np.zeros(max(vocab.values()) + 1, dtype=bool)
@@ -59,38 +66,35 @@ class WordTokenizer:
 
     def _learn(self, words: list[str]) -> None:
         """Remember the ids of new words."""
-        known, marked, plain, other = self.known, [], set(), set()
-        for w in words:
-            if _letters(w):
-                plain.add(w)
-            elif (m := _MARKED.fullmatch(w)) and _letters(m[1]):
-                marked.append((w, m[1], m[2]))
-                plain |= {m[1]} if m[1] not in known else set()
-                other |= {m[2]} if m[2] not in known else set()
-            else:
-                other.add(w)
-        todo = sorted(plain)
-        for k in range(0, len(todo), _MISSES):
-            part = todo[k:k + _MISSES]
-            ids = np.array(self._batch([" ".join(part)])[0], dtype="<u4")
-            ends = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(ends) != len(part):  # a letter that the tokenizer reads as more than letters
-                other.update(part)
-                continue
-            raw, at = ids.tobytes(), 0
-            for w, end in zip(part, (ends * 4).tolist(), strict=True):
-                known[w] = raw[at:end]
-                at = end
+        known, letters = self.known, _letters(words)
+        rest = [w for w, only in zip(words, letters, strict=True) if not only]
+        stems = [w.rstrip(_MARKS) for w in rest]
+        follow = _letters(stems)
+        marked = [(w, stem, w[len(stem):]) for w, stem, only in zip(rest, stems, follow, strict=True) if only]
+        other = {w for w, only in zip(rest, follow, strict=True) if not only} | {m for *_, m in marked if m not in known}
+        todo = [w for w, only in zip(words, letters, strict=True) if only] + [stem for _, stem, _ in marked if stem not in known]
+        todo = dict.fromkeys(todo)
+        settled = [w for w in todo if _SETTLED.fullmatch(w)]
+        for tok, some in ((self.merges, settled), (self.tok, list(todo.keys() - settled) if len(settled) < len(todo) else [])):
+            for k in range(0, len(some), _MISSES):
+                part = some[k:k + _MISSES]
+                ids = np.array(self._batch([" ".join(part)], tok)[0], dtype="<u4")
+                ends = np.flatnonzero(self.ends_word[ids]) + 1
+                if len(ends) != len(part):  # a letter that the tokenizer reads as more than letters
+                    other.update(part)
+                    continue
+                raw, cuts = ids.tobytes(), (ends * 4).tolist()
+                known.update(zip(part, [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
         todo = sorted(other)
         for k in range(0, len(todo), _MISSES):
             part = todo[k:k + _MISSES]
             for w, ids in zip(part, self._batch(part), strict=True):
                 known[w] = np.array(ids, dtype="<u4").tobytes()
-        for w, letters, marks in marked:
-            known[w] = known[letters] + known[marks]
+        for w, stem, marks in marked:
+            known[w] = known[stem] + known[marks]
 
-    def _batch(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def _batch(self, texts: list[str], tok=None) -> list[list[int]]:
+        return [e.ids for e in (tok or self.tok).encode_batch_fast(texts, add_special_tokens=False)]
 
     def _of_words(self, texts: list[str]) -> list[bytes]:
         """Ids of texts that may be read word by word: each distinct word is looked up once, its ids are copied to its places."""
@@ -100,9 +104,7 @@ class WordTokenizer:
         found = list(map(self.known.get, each))
         if None in found:
             if len(self.known) > MAX_WORDS:
-                self.known.clear()
-                self.known[""] = b""
-                found = [None] * len(each)
+                self.known = {"": b"", **{w: ids for w, ids in zip(each, found, strict=True) if ids is not None}}
             self._learn([w for w, ids in zip(each, found, strict=True) if ids is None])
             found = list(map(self.known.__getitem__, each))
         ids, ends = copied(found, coded.indices.to_numpy())

@@ -31,6 +31,23 @@ def test_word_by_word_equals_whole_texts(monkeypatch):
         assert tok.encode(texts) == [tok.whole(t) for t in texts]
 
 
+def test_new_letters_are_merged_without_normalising_and_kept_words_stay(monkeypatch):
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzßàéîñöøüÿ", k=rng.randint(1, 14))) for _ in range(4000)]
+    odd = ["œuvre", "ÉTÉ", "Straße", "ªº", "µm", "÷", "ÿ÷ÿ", "ǆ", "ﬁn", "ΟΔΟΣ.", "it's", "'s", "été!!", "été''", "a1", "l'été,", "_", "ß_"]
+    text = " ".join(rng.choice(words) + rng.choice(["", "", ".", "!?", "'s"]) for _ in range(5000)) + " " + " ".join(odd)
+    tok, by_whole = op.WordTokenizer(PATH), []
+    batch = tok._batch
+    tok._batch = lambda texts, *other: by_whole.extend([] if other and other[0] is tok.merges else texts) or batch(texts, *other)
+    assert tok.encode([text]) == [tok.whole(text)]
+    assert not {w for t in by_whole for w in t.split()} & {w for w in words if len(w) > 1 and w.isascii()}
+    monkeypatch.setattr(op, "MAX_WORDS", 100)
+    learned, learn = [], tok._learn
+    tok._learn = lambda new: learned.extend(new) or learn(new)
+    again = f"{text} unheardofword"
+    assert tok.encode([again]) == [tok.whole(again)] and learned == ["unheardofword"] and len(tok.known) < len(text.split()) + 2
+
+
 def test_random_texts_equal_the_library():
     rng = random.Random(17)
     blocks = [(0x20, 0x7f), (0xa0, 0x24f), (0x250, 0x3ff), (0x400, 0x52f), (0x590, 0x5ff), (0x900, 0x97f), (0xe00, 0xe7f), (0x1e00, 0x1fff),
