@@ -102,11 +102,13 @@ class WordTokenizer:
         coded = words.flatten().dictionary_encode()
         each = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         found = list(map(self.known.get, each))
-        if None in found:
+        new = [k for k, ids in enumerate(found) if ids is None]
+        if new:
             if len(self.known) > MAX_WORDS:
                 self.known = {"": b"", **{w: ids for w, ids in zip(each, found, strict=True) if ids is not None}}
-            self._learn([w for w, ids in zip(each, found, strict=True) if ids is None])
-            found = list(map(self.known.__getitem__, each))
+            self._learn([each[k] for k in new])
+            for k in new:
+                found[k] = self.known[each[k]]
         ids, ends = copied(found, coded.indices.to_numpy())
         ids, cuts = ids.tobytes(), np.r_[0, ends][np.r_[0, np.cumsum(words.value_lengths().to_numpy())]] * 4
         return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
