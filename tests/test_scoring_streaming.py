@@ -226,3 +226,11 @@ def test_one_hot_unseen_values_are_zero(spark):
     row = fe.add_one_hot(new, one_hot).select("*", fe.active_one_hot(one_hot).alias("on"), fe.one_hot_sum(one_hot).alias("n")).first()
     assert row["on"] == "trans_manual,type_suv" and row.n == 2
     assert row.fuel_one_hot.toArray().tolist() == [0.0, 0.0] and row.type_one_hot.toArray().tolist() == [0.0, 1.0]
+
+
+def test_a_filter_by_code_does_not_copy_the_rules(spark, tmp_path):
+    """Requests of a table, so that Catalyst cannot work the filter out while it plans."""
+    spark.createDataFrame([(1, "{}")], "request_id long, payload string").write.parquet(str(tmp_path / "requests"))
+    judged = sc.validate(sc.parse_requests(spark.read.parquet(str(tmp_path / "requests"))), 2025)
+    for rows in (sc.normalize(judged, 2025), judged.where(F.col("code") != 200)):
+        assert len(rows._jdf.queryExecution().optimizedPlan().toString()) < 60_000  # 1.8 million with the rules in the filter
